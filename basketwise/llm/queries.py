@@ -23,6 +23,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), p.path("byte_bpe_50k.json"), p.PATTERN)
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .context_tree import score_documents
+
+    return score_documents(documents(spark, sf_dir))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import digest
+
+    return digest(documents(spark, sf_dir))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets
 
@@ -57,5 +69,5 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_secret_scans, op6_bpe_codec, op9_quality_rules, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_context_tree, op3_line_dedup, op4_secret_scans, op6_bpe_codec, op9_quality_rules, op10_token_shards)}
 ORACLES: dict[str, str] = {}

@@ -26,10 +26,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives a lost executor."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished phases now: it does so when the driver collects garbage."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
 def connected_groups(edges: DataFrame, name: str) -> DataFrame:
     """(node, grp) for every node of edges(a, b); grp is the smallest node of its connected group.
 
