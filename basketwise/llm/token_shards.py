@@ -13,6 +13,7 @@ through the commit protocol in any file system Spark can write, and reads them b
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -24,8 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pieces import Bounded
-
 # fixed values of the file format
 MAGIC = b"BWSHARD1"
 HEAD = struct.Struct("<8sIIIIIQ")  # magic, bytes an id, documents, keys, levels, null keys, ids
@@ -76,8 +75,8 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 
 
 def pack_shard(keys: list[int | None], ids: list[bytes], width: int = 4) -> bytes:
-    """One shard from documents in ascending key order, null keys first; ids come as unsigned 32-bit integers."""
-    lengths = np.array([len(b) // 4 for b in ids], np.uint64)
+    """One shard from documents in ascending key order, null keys first; ids come packed, width bytes each."""
+    lengths = np.array([len(b) // width for b in ids], np.uint64)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.uint64) if len(ids) else lengths
     known = np.array([k is not None for k in keys], bool)
     own = np.array([k for k in keys if k is not None], np.int64)
@@ -95,8 +94,6 @@ def pack_shard(keys: list[int | None], ids: list[bytes], width: int = 4) -> byte
     parts = [HEAD.pack(MAGIC, width, len(keys), len(slot), len(index.levels), int((~known).sum()), int(lengths.sum()))]
     for bits in index.levels:
         parts += [struct.pack("<I", len(bits)), np.packbits(bits).tobytes()]
-    if width == 2:
-        ids = [np.frombuffer(b, "<u4").astype("<u2").tobytes() for b in ids]
     parts += [marks.tobytes(), ordinal.tobytes(), times.tobytes(), own.astype("<i8").tobytes()]
     parts += [starts.tobytes(), lengths.tobytes(), *ids]
     return b"".join(parts)
@@ -155,44 +152,49 @@ class Shard:
         return np.concatenate([np.arange(self.nulls), np.repeat(first, times) + within])
 
 
-@lru_cache(maxsize=2)
-def _word_encoder(path: str):
-    """Ids of a text by the tokenizers library, asked once for each run of non-blanks.
+class WordEncoder:
+    """Ids of texts by the tokenizers library, asked once for each run of non-blanks.
 
     White space parts the pieces of such a vocabulary (its pattern never matches across), so the ids of a text are
-    those of its words in a row.
+    those of its words in a row; a mark at the end of a run of letters is a piece of its own. Words not yet known are
+    encoded a batch at a time.
     """
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-
-    def of_word(word: str) -> bytes:
-        return np.array(library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    kept = Bounded(of_word)
-    blanks = re.compile("[ \t\n\r]+").split
 
-    def encode(text: str) -> bytes:
-        return b"".join(map(kept.__getitem__, filter(None, blanks(text))))
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's to give out
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.blanks = re.compile("[ \t\n\r]+").split
+        self.kept: dict[str, bytes] = {}
+
+    def ask(self, words: list[str]) -> None:
+        for word, found in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
+            self.kept[word] = np.array(found.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        # the vocabulary is lower case; plain letters are lowered here already, so that fewer words differ
+        cut = [self.blanks(t.lower() if t.isascii() else t) for t in texts]
+        if len(self.kept) > 300_000:
+            self.kept = {}
+        known = self.kept
+        new = {w for words in cut for w in words if w not in known}
+        ends = {w for w in new if w[:-1].isalpha() and w[-1] in ",.;:!?"}
+        pieces = (new - ends) | {p for w in ends for p in (w[:-1], w[-1]) if p not in known}
+        self.ask(sorted(pieces))
+        for w in ends:
+            known[w] = known[w[:-1]] + known[w[-1]]
+        return [b"".join(map(known.__getitem__, words)) for words in cut]
 
-    return encode
 
-
-def encode_words_column(text, vocabulary: str, end_id: int):
-    """Binary column of ids with the end id last; null encodes as the empty text."""
-    tail = struct.pack("<I", end_id)
-
-    @F.arrow_udf("binary")
-    def encoded(texts: pa.Array) -> pa.Array:
-        encode = _word_encoder(vocabulary)
-        return pa.array([encode(t.as_py() or "") + tail for t in texts], pa.binary())
-
-    return encoded(text)
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def write_shards(
     docs: DataFrame, path: str, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text",
-    width: int = 2, shard_bytes: int = 32 << 20,
+    width: int = 2, shard_bytes: int = 16 << 20,
 ) -> None:
     """Encode whole texts and write them as shards in ascending key order.
 
@@ -208,21 +210,28 @@ def write_shards(
         def out():
             return pa.RecordBatch.from_arrays([pa.array([pack_shard(keys, blobs, width)], pa.binary())], ["shard"])
 
-        for batch in batches:
-            for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys.append(k)
-                blobs.append(b)
-                size += len(b) * width // 4 + 24
-                if size >= shard_bytes:
-                    yield out()
-                    keys, blobs, size = [], [], 0
+        encoder, tail = _encoder(vocabulary), struct.pack("<I", end_id)
+
+        def encoded():
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                    yield from zip(part.column(0).to_pylist(), (b + tail for b in ids))
+
+        for k, b in encoded():
+            keys.append(k)
+            blobs.append(b if width == 4 else np.frombuffer(b, "<u4").astype("<u2").tobytes())
+            size += len(blobs[-1]) + 24
+            if size >= shard_bytes:
+                yield out()
+                keys, blobs, size = [], [], 0
         if keys:
             yield out()
 
     dealt = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
     dealt = dealt.repartitionByRange(F.col("k"), F.col("h")).sortWithinPartitions("k", "h")
-    ids = dealt.select("k", encode_words_column(F.col("t"), vocabulary, end_id).alias("ids"))
-    ids.mapInArrow(pack, "shard binary").select(F.col("shard").cast("string").alias("value")).write.text(path)
+    dealt.select("k", "t").mapInArrow(pack, "shard binary").select(F.col("shard").cast("string").alias("value")).write.text(path)
 
 
 def _shards(spark: SparkSession, path: str, of_shard, schema: str) -> DataFrame:
