@@ -41,6 +41,12 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import class_rows
+
+    return class_rows(documents(spark, sf_dir))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_codec import digest_round_trip
 
@@ -69,5 +75,5 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_context_tree, op3_line_dedup, op4_secret_scans, op6_bpe_codec, op9_quality_rules, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_context_tree, op3_line_dedup, op4_secret_scans, op5_near_dedup, op6_bpe_codec, op9_quality_rules, op10_token_shards)}
 ORACLES: dict[str, str] = {}
