@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import stash
+from .workspace import block_of, stash
 
 U = np.uint64
 LN2, LN10 = np.log(2.0), np.log(10.0)
@@ -305,12 +305,7 @@ def score_documents(
     """
     if not 2 <= depth <= 7:
         raise ValueError("depth must be 2 to 7")
-    # a block: one split of an input file, parted by a hash into pieces of about block_bytes of the file
-    pieces = F.greatest(F.lit(1), F.ceil(F.input_file_block_length() / F.lit(block_bytes)))
-    piece = F.when(F.input_file_name() == "", F.pmod(F.xxhash64(key, text), F.lit(64))).otherwise(
-        F.pmod(F.xxhash64(key, text), pieces)
-    )
-    block = F.concat_ws(":", F.input_file_name(), F.input_file_block_start(), piece)
+    block = block_of(key, text, block_bytes)
     base = docs.select(block.alias("block"), F.col(key).alias("k"), F.col(text).alias("t"))
     spark = docs.sparkSession
     n = buckets or max(64, 2 * base.rdd.getNumPartitions())

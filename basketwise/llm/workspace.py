@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,3 +74,13 @@ def connected_groups(edges: DataFrame, name: str) -> DataFrame:
         before = state
     roots = current.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("grp"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("grp")).union(roots)
+
+
+def block_of(key: str, text: str, block_bytes: int) -> Column:
+    """A name for a bounded part of a scanned table: one split of an input file, parted by a hash of the row into
+    pieces of about block_bytes of the file. It depends on the row and where it is stored only, so every scan deals
+    alike. Rows that come from no file are dealt into 64 pieces."""
+    pieces = F.greatest(F.lit(1), F.ceil(F.input_file_block_length() / F.lit(block_bytes)))
+    row = F.xxhash64(key, text)
+    piece = F.when(F.input_file_name() == "", F.pmod(row, F.lit(64))).otherwise(F.pmod(row, pieces))
+    return F.concat_ws(":", F.input_file_name(), F.input_file_block_start(), piece)
