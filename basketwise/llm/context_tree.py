@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import block_of, stash
+from .workspace import block_of, scanned, stash
 
 U = np.uint64
 LN2, LN10 = np.log(2.0), np.log(10.0)
@@ -305,6 +305,7 @@ def score_documents(
     """
     if not 2 <= depth <= 7:
         raise ValueError("depth must be 2 to 7")
+    docs = scanned(docs.select(key, text), "ctw-texts")
     block = block_of(key, text, block_bytes)
     base = docs.select(block.alias("block"), F.col(key).alias("k"), F.col(text).alias("t"))
     spark = docs.sparkSession

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import block_of, stash
+from .workspace import block_of, scanned, stash
 
 U = np.uint64
 
@@ -184,6 +184,7 @@ def remove_repeats(
     text shorter than the length loses nothing. An empty table gives an empty table; other columns are left out.
     """
     window = 256 + (length - 256) * 5 // 16
+    docs = scanned(docs.select(key, text), "repeat-texts")
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(block_of(key, text, block_bytes).alias("block"), F.col(key).alias("k"), F.xxhash64(text).alias("h"), body.alias("t"))
     n = buckets or max(64, 2 * docs.rdd.getNumPartitions())

@@ -76,11 +76,15 @@ def connected_groups(edges: DataFrame, name: str) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("grp")).union(roots)
 
 
+def scanned(docs: DataFrame, name: str) -> DataFrame:
+    """docs if all its rows come straight from files, else written to the shared folder and read back. The question
+    reads no column, only file footers."""
+    return docs if docs.where(F.input_file_name() == "").isEmpty() else stash(docs, name)
+
+
 def block_of(key: str, text: str, block_bytes: int) -> Column:
     """A name for a bounded part of a scanned table: one split of an input file, parted by a hash of the row into
     pieces of about block_bytes of the file. It depends on the row and where it is stored only, so every scan deals
-    alike. Rows that come from no file are dealt into 64 pieces."""
+    alike, and one task holds all of it."""
     pieces = F.greatest(F.lit(1), F.ceil(F.input_file_block_length() / F.lit(block_bytes)))
-    row = F.xxhash64(key, text)
-    piece = F.when(F.input_file_name() == "", F.pmod(row, F.lit(64))).otherwise(F.pmod(row, pieces))
-    return F.concat_ws(":", F.input_file_name(), F.input_file_block_start(), piece)
+    return F.concat_ws(":", F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64(key, text), pieces))
