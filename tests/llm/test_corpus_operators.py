@@ -120,7 +120,7 @@ def test_context_trees_of_nothing(spark):
 
 def test_lines(spark):
     long = "the quick brown fox jumps over the lazy dog and runs away from all of the other animals in the wood today"
-    texts = ["Head line\n" + long + "\n\nown", "head LINE!\n" + long.replace("today", "todav") + "\nother", None, "", "...\n...", "Head line 1\nHead line 22", "\n"]
+    texts = ["Head line\n" + long + "\n\nown", "head LINE!\n" + long.replace("today", "todav") + "\nother", None, "", "...\n...", "Head line 1\nHEAD: line 1.", "\n"]
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
     assert out[0]["text"] == texts[0] and out[2]["text"] is None and out[3]["text"] == "" and out[4]["text"] == "...\n..."
     assert out[1]["text"].split("\n")[-1] == "other" and 0 in out[1]["_dropped"]
@@ -138,14 +138,14 @@ def test_line_links_are_whole(spark):
     words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
     base = [" ".join(r.sample(words, 30)) for _ in range(6)]
     lines = base + [b[:-k] for b in base for k in (1, 2, 3)] + [b.replace(b.split()[k], "zz", 1) for b in base for k in range(12)]
-    got = line_dedup.line_groups(frame(spark, lines)).select("first_at.k", "grp").collect()
+    got = line_dedup.line_groups(line_dedup._occurrences(frame(spark, lines), "doc_id", "text")).select("first_at.k", "grp").collect()
     place = {x["k"]: x["grp"] for x in got}
     sims = {}
     for i, t in enumerate(lines):
         w = t.split(" ")
         sims[i] = w
-    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(lines)], "h1 long, h2 int, norm string")
-    prints = {x["h1"]: x["sim"] & (1 << 64) - 1 for x in line_dedup.fingerprints(df).collect()}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "h1 long, norm string")
+    prints = {x["h1"]: x["sim"] & (1 << 64) - 1 for x in line_dedup.fingerprints(df, ["h1"]).collect()}
 
     def edits(a, b):
         row = list(range(len(b) + 1))

@@ -218,3 +218,35 @@ def test_replay_equals_a_loop(spark):
     c = ReplayConfig(holdout=30, lookahead=2, caps=(3, 4, 6), baseline_cap=4, floors=(0.3, 0.5, 0.7), min_support=5)
     got = {(x["cap"], x["floor"]): (x["rules"], x["holes"], x["filled"], x["marginal_holes"], x["marginal_filled"]) for x in replay(history(spark, sets), c).collect()}
     assert got == plain_replay(sets, c)
+
+
+def test_findings_and_eval_files(spark, tmp_path):
+    from basketwise.plans.replay import write_eval
+    from basketwise.sources.store import append_findings
+
+    found = spark.sql("select timestamp'2024-05-01 10:00:00' as timestamp, 'hook' as source, named_struct('holes', 2, 'failing', true) as result")
+    for _ in range(2):
+        append_findings(found, str(tmp_path / "log"))
+    log = spark.read.json(str(tmp_path / "log"))
+    assert rows(log, "source", "day") == [("hook", __import__("datetime").date(2024, 5, 1))] * 2
+    cells = replay(history(spark, ["ab", "abc", "b", "ab"] * 6), ReplayConfig(holdout=8, lookahead=1, caps=(2, 3), baseline_cap=2, floors=(0.3,), min_support=3))
+    write_eval(cells, str(tmp_path / "eval"))
+    back = spark.read.csv(str(tmp_path / "eval"), header=True, inferSchema=True)
+    assert rows(back, "cap", "floor") == [(2, 0.3), (3, 0.3)] and back.columns == cells.columns
+
+
+def test_unit_routing_and_replay_coverage(spark):
+    from basketwise.plans.check import find_unit_holes
+    from basketwise.plans.replay import replay_coverage
+    from basketwise.sources.store import Index
+
+    tx = history(spark, [["u1", "u2"]] * 12 + [["u1"]])
+    built = build_index(tx, MiningConfig())
+    seen = spark.createDataFrame([("u1", "f.cs"), ("u2", "g.cs")], "entity string, location string")
+    index = Index(**{n: getattr(built, n) for n in ("counts", "pairs", "labels", "facet_stats", "facet_training")}, locations=seen)
+    changed = spark.createDataFrame([("s", "f.cs", ["u1"])], "change_set_id string, entity string, units array<string>")
+    assert rows(find_unit_holes(index, changed), "hole", "trigger", "location") == [("u2", "u1", "g.cs")]
+    asked = spark.createDataFrame([("u1",)], "entity string")
+    assert rows(expected_companions(index, asked, unit_index=index), "companion", "level") == [("u2", "unit")]
+    got = replay_coverage(history(spark, ["ab"] * 20 + ["abcd"] * 10), ReplayConfig(holdout=12, lookahead=3, max_eval_size=3))
+    assert rows(got, "evaluated", "skipped_large", "ingest_only") == [(2, 7, 3)]
