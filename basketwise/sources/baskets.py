@@ -10,24 +10,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from basketwise.functions.scoring import abbrev
 
 
+def _indexed(df: DataFrame, name: str) -> DataFrame:
+    """Positions 0, 1, .. in the order in which df has its rows. Rows are counted a partition, and each adds the number of rows
+    in the partitions before; the partitions are kept, so that both passes see the same ones."""
+    kept = df.persist()
+    here = kept.select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"), "*")
+    sizes = sorted(here.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a partition
+    starts, at = [], 0
+    for p, n in sizes:
+        starts.append((p, at))
+        at += n
+    before = df.sparkSession.createDataFrame(starts, "_p int, _start long")
+    return here.join(F.broadcast(before), "_p").select((F.col("_start") + F.col("_i")).alias(name), *df.columns)
+
+
 def numbered(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
-    """Positions 0, 1, .. in the order of the columns, without a sort in one task: a range sort, then zipWithIndex."""
-    ordered = df.orderBy(*order)
-    schema = T.StructType([T.StructField(name, T.LongType(), False), *df.schema.fields])
-    return df.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda r: (r[1], *r[0])), schema)
+    """Positions 0, 1, .. in the order of the columns: a range sort over all tasks, no global window."""
+    return _indexed(df.orderBy(*order), name)
 
 
 def read_commit_log(spark: SparkSession, path: str) -> DataFrame:
     """Transactions of a log: records start with 0x01, then id 0x1f subject, then one entity a line; newest first in
     the file, numbered oldest first."""
     raw = spark.read.option("lineSep", "\x01").text(path).where(F.trim("value") != "")
-    at = raw.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
-    records = spark.createDataFrame(at, "at long, value string")
+    records = _indexed(raw, "at")
     lines = F.transform(F.split("value", "\n"), lambda x: F.trim(F.translate(x, "\r\t", "  ")))
     head = F.split(F.element_at(F.split("value", "\n"), 1), "\x1f", 2)
     out = records.select(
