@@ -7,8 +7,9 @@ ones of 256). Two places with the same identifier at full length start the same
 
 Refining all places to full length across the corpus would send each of them over the network. Instead each string of
 full length is first known by the least window identifier inside it; these, about two in a hundred places, are counted
-over the corpus. Only strings whose least window occurs twice are refined to full length and counted. Both counts are made
-by buckets that each own a share of the identifiers: blocks of texts send packed identifiers, buckets send back one bit for
+over the corpus, with all that the strings of that window cover together: where that is the same wherever the window
+occurs, all those strings are repeats and need no more. Only strings whose least window occurs twice in different
+surroundings are refined to full length and counted. Both counts are made by buckets that each own a share of the identifiers: blocks of texts send packed identifiers, buckets send back one bit for
 each. A string that a third of all texts hold is counted in its block first, so it reaches its bucket once a block; other
 strings around it have identifiers of their own and other buckets.
 """
@@ -81,6 +82,11 @@ class Refined:
             self.start = self.size = np.zeros(0, np.int64)
             self.mark = np.zeros(0, U)
 
+    def contexts(self) -> np.ndarray:
+        """For each run of strings with one mark, an identifier of all that they cover together."""
+        both = _join(self.whole[self.places[self.start]], self.whole[self.places[self.start + self.size - 1]])
+        return _join(both, self.size.astype(U))
+
     def marked(self) -> tuple[np.ndarray, np.ndarray]:
         """(text, window identifier) of each place whose window is the least of some string."""
         if not len(self.places):
@@ -106,52 +112,78 @@ def _bucket(ids: np.ndarray, n: int) -> np.ndarray:
     return (ids >> U(24)) % U(n)
 
 
-def _summed(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(ids)
-    ids, counts = ids[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-    return ids[first], np.minimum(np.add.reduceat(counts, first), 2) if len(first) else counts
-
-
 def _sorted_texts(table: pa.Table) -> tuple[list, list[bytes]]:
     """Keys and texts of a block in an order that doesn't depend on how the rows arrived."""
     rows = table.sort_by([("h", "ascending"), ("k", "ascending")])
     return rows["k"], [t.encode() for t in rows["t"].to_pylist()]
 
 
-SENT = "block string, bucket long, ids binary, twice binary"
-SENT_ARROW = pa.schema([("block", pa.string()), ("bucket", pa.int64()), ("ids", pa.binary()), ("twice", pa.binary())])
+SENT = "block string, bucket long, ids binary"
+SENT_ARROW = pa.schema([("block", pa.string()), ("bucket", pa.int64()), ("ids", pa.binary())])
 BITS = "block string, bucket long, bits binary"
 BITS_ARROW = pa.schema([("block", pa.string()), ("bucket", pa.int64()), ("bits", pa.binary())])
+MARKS = "block string, bucket long, ids binary, contexts binary, twice binary, mixed binary"
+MARKS_ARROW = pa.schema([*SENT_ARROW, ("contexts", pa.binary()), ("twice", pa.binary()), ("mixed", pa.binary())])
+KNOWN = "block string, bucket long, alike binary, mixed binary"
+KNOWN_ARROW = pa.schema([("block", pa.string()), ("bucket", pa.int64()), ("alike", pa.binary()), ("mixed", pa.binary())])
 
 
-def _packets(block: str, ids: np.ndarray, twice: np.ndarray, n: int) -> list[dict]:
-    """One row for each bucket, its identifiers in the order they come in."""
+def _shares(ids: np.ndarray, n: int):
+    """(bucket, places of its identifiers in the order they come in)."""
     bucket = _bucket(ids, n)
     order = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[order], np.arange(n + 1).astype(U))
-    return [
-        {"block": block, "bucket": b, "ids": ids[order[i:j]].tobytes(), "twice": np.packbits(twice[order[i:j]]).tobytes()}
-        for b, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if j > i
-    ]
+    for b, i, j in _edges(bucket[order]):
+        yield b, order[i:j]
+
 
+def _gather(ids, contexts, count, mixed):
+    """Marks summed up: distinct identifiers, a context, count (2 at most) and whether contexts or places differ."""
+    order = np.lexsort([contexts, ids])
+    ids, contexts, count, mixed = ids[order], contexts[order], count[order], mixed[order]
+    if not len(ids):
+        return ids, contexts, count, mixed
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    last = np.concatenate([first[1:], [len(ids)]]) - 1
+    differ = np.logical_or.reduceat(mixed, first) | (contexts[first] != contexts[last])
+    return ids[first], contexts[first], np.minimum(np.add.reduceat(count, first), 2), differ
 
-def _answers(packets: DataFrame, as_ids: bool = False) -> DataFrame:
-    """For each packet a bit for each identifier: whether it occurs twice or more over all packets of its bucket; or
-    those identifiers themselves."""
+
+def _known(marks: DataFrame) -> DataFrame:
+    """For each packet its marks that occur twice or more: those whose strings cover the same bytes wherever they occur
+    (alike: all of them are repeated), and those that must be refined further (mixed)."""
 
     def count(table: pa.Table) -> pa.Table:
         ids = [np.frombuffer(x.as_buffer(), U) for x in table["ids"]]
-        weight = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(i)) + 1 for x, i in zip(table["twice"], ids)]
-        known, counts = _summed(np.concatenate(ids), np.concatenate(weight).astype(np.int64))
-        again = known[counts > 1]
+        sizes = [len(i) for i in ids]
+        flags = lambda name: np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=k) for x, k in zip(table[name], sizes)])
+        contexts = np.concatenate([np.frombuffer(x.as_buffer(), U) for x in table["contexts"]])
+        all_ids, _, counts, mixed = _gather(np.concatenate(ids), contexts, flags("twice").astype(np.int64) + 1, flags("mixed").astype(bool))
+        lists = [all_ids[(counts > 1) & ~mixed], all_ids[(counts > 1) & mixed]]
         rows = []
         for block, bucket, own in zip(table["block"].to_pylist(), table["bucket"].to_pylist(), ids):
-            at = np.minimum(np.searchsorted(again, own), max(len(again) - 1, 0))
-            bits = again[at] == own if len(again) else np.zeros(len(own), bool)
-            bits = own[bits] if as_ids else np.packbits(bits)
-            rows.append({"block": block, "bucket": bucket, "bits": bits.tobytes()})
-        return pa.Table.from_pylist(rows, BITS_ARROW)
+            alike, other = (own[_among(own, x)].tobytes() for x in lists)
+            rows.append({"block": block, "bucket": bucket, "alike": alike, "mixed": other})
+        return pa.Table.from_pylist(rows, KNOWN_ARROW)
+
+    return marks.groupBy("bucket").applyInArrow(count, KNOWN)
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the ascending known ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _answers(packets: DataFrame) -> DataFrame:
+    """For each packet a bit for each identifier: whether it occurs twice or more over all packets of its bucket."""
+
+    def count(table: pa.Table) -> pa.Table:
+        ids = [np.frombuffer(x.as_buffer(), U) for x in table["ids"]]
+        known, counts = np.unique(np.concatenate(ids), return_counts=True)
+        again = known[counts > 1]
+        bits = [np.packbits(_among(own, again)).tobytes() for own in ids]
+        return pa.Table.from_arrays([table["block"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(bits, pa.binary())], schema=BITS_ARROW)
 
     return packets.groupBy("bucket").applyInArrow(count, BITS)
 
@@ -174,7 +206,7 @@ def _edges(values: np.ndarray):
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 400, block_bytes: int = 16 << 20, buckets: int | None = None,
+    docs: DataFrame, length: int = 400, block_bytes: int = 4 << 20, buckets: int | None = None,
     key: str = "doc_id", text: str = "text", keep_bytes: bool = False,
 ) -> DataFrame:
     """One row per input row: key, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, if asked for).
@@ -196,44 +228,52 @@ def remove_repeats(
             texts = [t.encode() for t in batch.column(1).to_pylist()]
             for a, b in _chunks(texts):
                 names, r = np.array(blocks[a:b]), Refined(texts[a:b], length, window)
+                if not len(r.start):
+                    continue
                 owner, ids = r.marked()
-                owner = names[owner] if len(owner) else names[:0]
+                owner, runs_of, contexts = names[owner], names[r.owner[r.start]], r.contexts()
                 for name in np.unique(owner):
-                    own = ids[owner == name]
-                    found[str(name)].append(_summed(own, np.ones(len(own), np.int64)))
+                    own, places = np.unique(ids[owner == name], return_counts=True)
+                    here = runs_of == name
+                    one, context, _, mixed = _gather(r.mark[here], contexts[here], np.ones(here.sum(), np.int64), np.zeros(here.sum(), bool))
+                    # two places of a mark in one run of strings: they may cover less than the run together
+                    runs = np.unique(r.mark[here], return_counts=True)[1]
+                    found[str(name)].append((own, context, np.minimum(places, 2), mixed | (runs != places)))
         for name, parts in found.items():
-            ids, counts = _summed(*map(np.concatenate, zip(*parts)))
-            yield pa.RecordBatch.from_pylist(_packets(name, ids, counts > 1, n), SENT_ARROW)
-
-    marks = stash(_answers(base.select("block", "t").mapInArrow(send, SENT), as_ids=True), "repeat-marks")
-    state = "block string, bucket long, ids binary, twice binary, kind string, runs binary"
+            ids, contexts, counts, mixed = _gather(*map(np.concatenate, zip(*parts)))
+            rows = [
+                {"block": name, "bucket": b, "ids": ids[at].tobytes(), "contexts": contexts[at].tobytes(),
+                 "twice": np.packbits(counts[at] > 1).tobytes(), "mixed": np.packbits(mixed[at]).tobytes()}
+                for b, at in _shares(ids, n)
+            ]
+            yield pa.RecordBatch.from_pylist(rows, MARKS_ARROW)
+
+    marks = stash(_known(base.select("block", "t").mapInArrow(send, MARKS)), "repeat-marks")
+    state = "block string, bucket long, ids binary, kind string, runs binary"
     state_arrow = pa.schema([*SENT_ARROW, ("kind", pa.string()), ("runs", pa.binary())])
+    small = np.uint8 if n <= 256 else np.uint32
 
     def refine(group: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        _, texts = _sorted_texts(left)
-        again = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), U) for x in right["bits"]] or [np.zeros(0, U)]))
-        runs, wholes = [], []
+        name, (_, texts) = group[0].as_py(), _sorted_texts(left)
+        alike, mixed = (np.sort(np.concatenate([np.frombuffer(x.as_buffer(), U) for x in right[c]] or [np.zeros(0, U)])) for c in ("alike", "mixed"))
+        runs, wholes = [np.zeros((0, 4), np.int64)], [np.zeros(0, U)]
         for a, b in _chunks(texts):
             r = Refined(texts[a:b], length, window)
-            if not len(again) or not len(r.start):
+            if not len(r.start):
                 continue
-            at = np.minimum(np.searchsorted(again, r.mark), len(again) - 1)
-            some = again[at] == r.mark
-            if some.any():
-                s, size = r.start[some], r.size[some]
-                runs.append(np.column_stack([r.owner[s] + a, r.offset[s], size]).astype(np.int64))
-                wholes.append(r.whole[r.places[np.repeat(some, r.size)]])
-        whole = np.concatenate(wholes or [np.zeros(0, U)])
-        rows = _packets(group[0].as_py(), whole, np.zeros(len(whole), bool), n)
-        rows = [r | {"kind": "ids", "runs": None} for r in rows]
-        rows.append({
-            "block": group[0].as_py(), "bucket": -1, "ids": _bucket(whole, n).astype(np.uint32 if n > 256 else np.uint8).tobytes(),
-            "twice": None, "kind": "runs", "runs": np.concatenate(runs or [np.zeros((0, 3), np.int64)]).tobytes(),
-        })
+            more = _among(r.mark, mixed)
+            some = np.flatnonzero(more | _among(r.mark, alike))
+            s = r.start[some]
+            runs.append(np.column_stack([r.owner[s] + a, r.offset[s], r.size[some], more[some]]).astype(np.int64))
+            wholes.append(r.whole[r.places[np.repeat(more, r.size)]])
+        whole, runs = np.concatenate(wholes), np.concatenate(runs)
+        del wholes
+        rows = [{"block": name, "bucket": b, "ids": whole[at].tobytes(), "kind": "ids", "runs": None} for b, at in _shares(whole, n)]
+        rows.append({"block": name, "bucket": -1, "ids": _bucket(whole, n).astype(small).tobytes(), "kind": "runs", "runs": runs.tobytes()})
         return pa.Table.from_pylist(rows, state_arrow)
 
     sent = stash(base.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(refine, state), "repeat-strings")
-    answers = _answers(sent.where("kind = 'ids'").select("block", "bucket", "ids", "twice"))
+    answers = _answers(sent.where("kind = 'ids'").select("block", "bucket", "ids"))
     back = answers.select("block", "bucket", "bits", F.lit(None).cast("binary").alias("runs"), F.lit(None).cast("binary").alias("ids"))
     back = back.unionByName(sent.where("kind = 'runs'").select("block", "bucket", F.lit(None).cast("binary").alias("bits"), "runs", "ids"))
     kind = docs.schema[key].dataType.simpleString()
@@ -242,16 +282,15 @@ def remove_repeats(
     def cut(group: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         keys, texts = _sorted_texts(left)
         own = [i for i, x in enumerate(right["runs"]) if x.is_valid]
-        runs = np.zeros((0, 3), np.int64)
         starts: dict[int, list] = defaultdict(list)
         if own:
-            runs = np.frombuffer(right["runs"][own[0]].as_buffer(), np.int64).reshape(-1, 3)
-            bucket = np.frombuffer(right["ids"][own[0]].as_buffer(), np.uint32 if n > 256 else np.uint8)
+            runs = np.frombuffer(right["runs"][own[0]].as_buffer(), np.int64).reshape(-1, 4)
+            bucket = np.frombuffer(right["ids"][own[0]].as_buffer(), small)
             bits = _spread(right.filter(right["bits"].is_valid()), bucket)
             at = 0
-            for doc, offset, size in runs.tolist():
-                hit = np.flatnonzero(bits[at : at + size])
-                at += size
+            for doc, offset, size, asked in runs.tolist():
+                hit = np.flatnonzero(bits[at : at + size]) if asked else np.arange(size)
+                at += size * asked
                 if len(hit):
                     starts[doc].append(hit + offset)
         removed, spans, digests, left_bytes = [], [], [], []
