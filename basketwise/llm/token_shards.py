@@ -166,22 +166,45 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.blanks = re.compile("[ \t\n\r]+").split
+        vocabulary = self.library.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ask(self, words: list[str]) -> None:
         for word, found in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
             self.kept[word] = np.array(found.ids, "<u4").tobytes()
 
+    def ask_letters(self, words: list[str]) -> None:
+        """Words of letters only are one piece each, and its last id tells where it ends: they are encoded in one text."""
+        if not words:
+            return
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):  # a letter that isn't one once lowered
+            return self.ask(words)
+        data, at = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist()):
+            self.kept[word] = data[at:end]
+            at = end
+
     def encode(self, texts: list[str]) -> list[bytes]:
         # the vocabulary is lower case; plain letters are lowered here already, so that fewer words differ
         cut = [self.blanks(t.lower() if t.isascii() else t) for t in texts]
-        if len(self.kept) > 300_000:
-            self.kept = {}
-        known = self.kept
+        if len(self.kept) > 250_000:
+            self.kept, self.older = {}, self.kept
+        known, older = self.kept, self.older
         new = {w for words in cut for w in words if w not in known}
+        again = {w for w in new if w in older}
+        for w in again:
+            known[w] = older[w]
+        new -= again
         ends = {w for w in new if w[:-1].isalpha() and w[-1] in ",.;:!?"}
         pieces = (new - ends) | {p for w in ends for p in (w[:-1], w[-1]) if p not in known}
-        self.ask(sorted(pieces))
+        letters = {w for w in pieces if w.isalpha()}
+        self.ask_letters(sorted(letters))
+        self.ask(sorted(pieces - letters))
         for w in ends:
             known[w] = known[w[:-1]] + known[w[-1]]
         return [b"".join(map(known.__getitem__, words)) for words in cut]
