@@ -8,6 +8,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basketwise.llm import context_tree, decontaminate, line_dedup, near_dedup, repeats, workspace
 
@@ -163,6 +164,19 @@ def test_line_links_are_whole(spark):
     assert links and len({(want[i], place[i]) for i in place}) == len(set(want.values())) == len(set(place.values()))
 
 
+def test_lines_are_compared_by_letters(spark):
+    """One letter of a short line is within the bound; a word in ten that is a third of the letters is not."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(9)]
+    typo = [*words[:4], words[4][:-1] + "z", *words[5:]]
+    long = "a b c d e f g h i"
+    lines = [" ".join(words), " ".join(typo), long + " " + "k" * 9, long + " " + "m" * 9]
+    seen = line_dedup._occurrences(frame(spark, lines), "doc_id", "text").cache()
+    known = seen.select(F.col("k").alias("id"), "h1", "h2", F.struct("k", "th", "pos").alias("first_at"))
+    pairs = spark.createDataFrame([(0, 1), (2, 3)], "a long, b long")
+    assert [tuple(x) for x in line_dedup._verified(pairs, known, seen, 0.9).collect()] == [(0, 1)]
+
+
 # ---- near duplicates ---------------------------------------------------------------------------------------------
 
 
