@@ -1,17 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: seeds of all places, then Smith-Waterman alignment of words.
 
-Every run of `width` words of a benchmark item is a seed. How many documents hold a seed is counted over the whole
-corpus; of each stretch of neighbouring seeds of an item the rarest ones are used, so every part of an item keeps seeds
-even where all of it is common. Seeds are looked up in every document. Hits of an item that lie close together are one
+Every three words of a benchmark item, next to each other or with one left out, are a seed (fewer words where fewer are
+a leak). Seeds are looked up in every document; one hit is enough. Hits of an item that lie close together are one
 passage; the passage, with as many words around it as the item could reach, is aligned with the item by Smith-Waterman
-over words. A leak is an aligned passage that is similar enough and covers enough of the item, or is long.
+over words, unless fewer of its words are the item's than a leak needs. A leak is an aligned passage that is similar
+enough and covers enough of the item, or is long.
 
 The benchmark is the stated query set: its seeds go to the tasks in blocks of at most block_seeds (some tens of MB),
 one pass over the documents for each block, so what is sent has a fixed bound however large the benchmark grows. The
-documents are never shuffled; only seed counts and leaks are.
+documents are never shuffled; only leaks are.
 """
 
-from collections import Counter, defaultdict
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -73,13 +74,11 @@ class Words:
         return h[h != 0]
 
 
-def grams_of(words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of width words; of all words if there are fewer, none if there are none."""
-    n = len(words) - width + 1
-    if n < 1:
-        width, n = len(words), min(len(words), 1)
-    out = np.zeros(n, U)
-    for i in range(width):
+def grams_of(words: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Hash of the words at these distances from every word; shapes never meet."""
+    n = max(len(words) - shape[-1], 0)
+    out = np.full(n, sum(1 << i for i in shape), U)
+    for i in shape:
         out = out * U(0x9E3779B97F4A7C15) + words[i : i + n]
         out ^= out >> U(31)
     return out
@@ -102,84 +101,82 @@ class SeedTable:
         return at[self.seeds[found] == grams[at]]
 
 
-def seed_counts(docs: DataFrame, seeds: np.ndarray, width: int, text: str = "text") -> dict[int, int]:
-    """Number of documents that hold each seed, over all documents; at most one number for each seed comes back."""
+LEAKS = "item_no long, matches long, item_from long, item_to long, item_words long, doc_from long, doc_to long, cover double, similarity double"
+
+
+def least_matches(n: int, min_cover: float, long_match: int) -> int:
+    """Matching words without which an alignment with an item of n words is no leak."""
+    return max(1, min(math.ceil(min_cover * n - 1e-9), long_match))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table, total = Words(), SeedTable(seeds), np.zeros(len(np.unique(seeds)), np.int64)
-        for batch in batches:
-            for t in batch.column(0):
-                grams = grams_of(words(t.as_py()), width)
-                total[np.searchsorted(table.seeds, np.unique(grams[table.hits(grams)]))] += 1
-        some = total > 0
-        yield pa.RecordBatch.from_arrays([pa.array(table.seeds[some].view(np.int64)), pa.array(total[some])], ["g", "n"])
 
-    rows = docs.select(F.col(text)).mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
-    return {int(np.int64(r["g"]).view(U)): r["n"] for r in rows}
+def shapes_of(least: int) -> tuple[tuple[int, ...], ...]:
+    """Seeds of an item: three words of which none or one inside is left out, fewer words where fewer are a leak."""
+    return {1: ((0,),), 2: ((0, 1), (0, 2))}.get(least, ((0, 1, 2), (0, 1, 3), (0, 2, 3)))
 
 
-def rare_seeds(items: list[tuple], counts: dict[int, int], width: int, stretch: int, rarest: int) -> dict:
-    """seed -> [(number of item, place)]: of each stretch of an item's seeds the rarest, then the first."""
-    out = defaultdict(list)
+def all_seeds(items: list[tuple], min_cover: float, long_match: int) -> dict:
+    """shape -> seed -> [(number of item, place)], of every place of every item."""
+    out: dict = defaultdict(lambda: defaultdict(list))
     for k, (_, words) in enumerate(items):
-        grams = grams_of(words, width).tolist()
-        for a in range(0, len(grams), stretch):
-            part = range(a, min(a + stretch, len(grams)))
-            for at in sorted(part, key=lambda i: (counts.get(grams[i], 0), i))[:rarest]:
-                out[grams[at]].append((k, at))
-    return out
+        for shape in shapes_of(least_matches(len(words), min_cover, long_match)):
+            for at, g in enumerate(grams_of(words, shape).tolist()):
+                out[shape][g].append((k, at))
+    return {shape: dict(of) for shape, of in out.items()}
 
 
-def passages(hits: list[tuple[int, int]], length: int, least: int) -> Iterator[tuple[int, int]]:
+def passages(hits: list[tuple[int, int]], length: int, slack: int) -> Iterator[tuple[int, int]]:
     """Stretches of a document's words to align, from hits (place in the document, place in the item).
 
-    Hits further apart than the item is long belong to different passages; one with fewer than `least` different
-    places of the item is chance.
+    Hits further apart than the item and its slack are long belong to different passages.
     """
-    slack = 2 + length // 4
     part: list[tuple[int, int]] = []
     for hit in [*sorted(hits), None]:
-        if part and (hit is None or hit[0] - part[-1][0] > length):
-            if len({at for _, at in part}) >= least:
-                yield min(p - at for p, at in part) - slack, max(p + length - at for p, at in part) + slack
+        if part and (hit is None or hit[0] - part[-1][0] > length + slack):
+            yield min(p - at for p, at in part) - slack, max(p + length - at for p, at in part) + slack
             part = []
         if hit:
             part.append(hit)
 
 
-LEAKS = "item_no long, matches long, item_from long, item_to long, item_words long, doc_from long, doc_to long, cover double, similarity double"
+def leaks_of(own: np.ndarray, items: list[tuple], seeds: dict, tables: dict, min_cover: float, min_similarity: float, long_match: int) -> list[tuple]:
+    """Rows of LEAKS of one document's words: for each item the leak with most matches."""
+    by_item = defaultdict(set)
+    for shape, table in tables.items():
+        of, grams = seeds[shape], grams_of(own, shape)
+        for pos in table.hits(grams).tolist():
+            for k, at in of[int(grams[pos])]:
+                by_item[k].add((pos, at))
+    out, plain = [], own.tolist() if by_item else []
+    for k, hits in by_item.items():
+        item, known = items[k][1], items[k][2]
+        n, best = len(item), None
+        least = least_matches(n, min_cover, long_match)
+        for a, b in passages(hits, n, 2 + int(n * (1 / min_similarity - 1))):
+            a = max(a, 0)
+            # no more words match than are the item's at all
+            if sum(map(known.__contains__, plain[a:b])) < least:
+                continue
+            m, i0, i1, j0, j1 = align(item, own[a:b])
+            cover, similarity = m / n, m / max(i1 - i0, j1 - j0, 1)
+            if similarity >= min_similarity and (cover >= min_cover or m >= long_match) and (best is None or m > best[1]):
+                best = (k, m, i0, i1, n, a + j0, a + j1, cover, similarity)
+        if best:
+            out.append(best)
+    return out
 
 
-def _leaks_in(docs, items, seeds, width, min_cover, min_similarity, long_match, key, text):
+def _leaks_in(docs, items, seeds, min_cover, min_similarity, long_match, key, text):
     fields = [x.rsplit(" ", 1) for x in LEAKS.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table = Words(), SeedTable(np.fromiter(seeds, U, len(seeds)))
-        given = Counter(k for places in seeds.values() for k, _ in places)
+        words, tables = Words(), {shape: SeedTable(np.fromiter(of, U, len(of))) for shape, of in seeds.items()}
+        known = [(i, w, set(w.tolist())) for i, w in items]
         for batch in batches:
             keys, rows = [], []
             for place, t in enumerate(batch.column(1)):
-                own = words(t.as_py())
-                grams = grams_of(own, width)
-                by_item = defaultdict(list)
-                for pos in table.hits(grams).tolist():
-                    for k, at in seeds[int(grams[pos])]:
-                        by_item[k].append((pos, at))
-                for k, hits in by_item.items():
-                    item = items[k][1]
-                    best = None
-                    for a, b in passages(hits, len(item), 1 + given[k] // 10):
-                        a = max(a, 0)
-                        m, i0, i1, j0, j1 = align(item, own[a:b])
-                        if best is None or m > best[0]:
-                            best = (m, i0, i1, len(item), a + j0, a + j1)
-                    if best is None:
-                        continue
-                    m, i0, i1, n, j0, j1 = best
-                    cover, similarity = m / n, m / max(i1 - i0, j1 - j0, 1)
-                    if similarity >= min_similarity and (cover >= min_cover or m >= long_match):
-                        keys.append(place)
-                        rows.append((k, m, i0, i1, n, j0, j1, cover, similarity))
+                found = leaks_of(words(t.as_py()), known, seeds, tables, min_cover, min_similarity, long_match)
+                keys += [place] * len(found)
+                rows += found
             columns = [pa.array(c, pa.float64() if kind == "double" else pa.int64()) for c, (_, kind) in zip(zip(*rows) if rows else [[]] * len(fields), fields)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), *columns], ["k", *(f for f, _ in fields)])
 
@@ -188,7 +185,7 @@ def _leaks_in(docs, items, seeds, width, min_cover, min_similarity, long_match,
 
 
 def find_leaks(
-    docs: DataFrame, items: DataFrame, width: int = 4, stretch: int = 4, rarest: int = 2, min_cover: float = 0.4,
+    docs: DataFrame, items: DataFrame, min_cover: float = 0.4,
     min_similarity: float = 0.6, long_match: int = 25, block_seeds: int = 500_000, key: str = "doc_id", text: str = "text",
     item_key: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
@@ -196,23 +193,22 @@ def find_leaks(
     passage of each row and item. Places count words, ends exclusive.
 
     cover: matching words over the item's words; similarity: matching words over the longer of the two aligned parts.
-    Items of fewer words than the width are one seed; items and texts that are null or without words are in no leak.
+    Items and texts that are null or without words are in no leak.
     Repeated rows have results each; null keys are kept. Empty tables give an empty table. Texts are searched whole.
     """
     spark, words = docs.sparkSession, Words()
     size = items.agg(F.sum(F.length(item_text))).first()[0] or 0
-    blocks = 1 + size // (4 * block_seeds)  # a word and its blank take more than four characters in most texts
+    blocks = 1 + 3 * size // (4 * block_seeds)  # three seeds a word, which with its blank takes more than four characters in most texts
     parted = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("t is not null")
     out = []
     for b in range(blocks):
         block = parted.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else parted
         own = [(r["i"], w) for r in block.orderBy("i", "t").collect() if len(w := words(r["t"]))]
-        grams = np.unique(np.concatenate([grams_of(w, width) for _, w in own] or [np.zeros(0, U)]))
-        seeds = dict(rare_seeds(own, seed_counts(docs, grams, width, text), width, stretch, rarest)) if own else {}
+        seeds = all_seeds(own, min_cover, long_match)
         names = spark.createDataFrame(
             [(k, i) for k, (i, _) in enumerate(own)], f"item_no long, {item_key} {items.schema[item_key].dataType.simpleString()}"
         )
-        found = _leaks_in(docs, own, seeds, width, min_cover, min_similarity, long_match, key, text)
+        found = _leaks_in(docs, own, seeds, min_cover, min_similarity, long_match, key, text)
         out.append(found.join(F.broadcast(names), "item_no"))  # one row for each item of the block
     found = reduce(DataFrame.unionByName, out)
     return found.select(
