@@ -29,6 +29,12 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int, int]:
     """Best local alignment of two word sequences: (matches, item from, item to, passage from, passage to), ends
     exclusive; of equal scores, the one that ends first in the item and then in the passage. All 0 if nothing matches."""
+    _, i, end_i, j, end_j, pairs = align_pairs(item, passage)
+    return len(pairs), i, end_i, j, end_j
+
+
+def align_pairs(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int, int, list[tuple[int, int]]]:
+    """The same as (score, item from, item to, passage from, passage to, matching places from the last to the first)."""
     n, m = len(item), len(passage)
     score = np.zeros((n + 1, m + 1), np.int32)
     steps = np.arange(m + 1) * -GAP
@@ -40,18 +46,32 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int, in
         score[i] = np.maximum.accumulate(row + steps) - steps
     i, j = np.unravel_index(int(score.argmax()), score.shape)
     if not score[i, j]:
-        return 0, 0, 0, 0, 0
-    end_i, end_j, matches = int(i), int(j), 0
+        return 0, 0, 0, 0, 0, []
+    end_i, end_j, best, pairs = int(i), int(j), int(score[i, j]), []
     while score[i, j] > 0:
         same = item[i - 1] == passage[j - 1]
         if score[i, j] == score[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            matches += bool(same)
             i, j = i - 1, j - 1
+            if same:
+                pairs.append((int(i), int(j)))
         elif score[i, j] == score[i - 1, j] + GAP:
             i -= 1
         else:
             j -= 1
-    return matches, int(i), end_i, int(j), end_j
+    return best, int(i), end_i, int(j), end_j, pairs
+
+
+def similar_part(pairs: list[tuple[int, int]], min_similarity: float) -> tuple[int, int, int, int, int]:
+    """As align(): the part of an alignment with most matches that is similar enough, the first of these."""
+    at = np.array(pairs[::-1], np.int64)
+    n = len(at)
+    for m in range(n, 0, -1):
+        span = (at[m - 1 :] - at[: n - m + 1]).max(axis=1) + 1
+        fits = np.flatnonzero(m >= min_similarity * span)
+        if len(fits):
+            (i0, j0), (i1, j1) = at[fits[0]].tolist(), at[fits[0] + m - 1].tolist()
+            return m, i0, i1 + 1, j0, j1 + 1
+    return 0, 0, 0, 0, 0
 
 
 class Words:
@@ -151,15 +171,25 @@ def leaks_of(own: np.ndarray, items: list[tuple], seeds: dict, tables: dict, min
         item, known = items[k][1], items[k][2]
         n, best = len(item), None
         least = least_matches(n, min_cover, long_match)
-        for a, b in passages(hits, n, 2 + int(n * (1 / min_similarity - 1))):
-            a = max(a, 0)
+        todo = list(passages(hits, n, 2 + int(n * (1 / min_similarity - 1))))
+        while todo:
+            a, b = todo.pop()
+            a, b = max(a, 0), min(b, len(own))
             # no more words match than are the item's at all
             if sum(map(known.__contains__, plain[a:b])) < least:
                 continue
-            m, i0, i1, j0, j1 = align(item, own[a:b])
-            cover, similarity = m / n, m / max(i1 - i0, j1 - j0, 1)
-            if similarity >= min_similarity and (cover >= min_cover or m >= long_match) and (best is None or m > best[1]):
-                best = (k, m, i0, i1, n, a + j0, a + j1, cover, similarity)
+            score, i0, i1, j0, j1, pairs = align_pairs(item, own[a:b])
+            # a leak loses at most a point for each word of either side that does not match
+            if score < least * (MATCH - 2 * (1 / min_similarity - 1)) - 1e-9 and len(pairs) < least:
+                continue
+            m, wide = len(pairs), (a, a + j0, a + j1, b)
+            if m < min_similarity * max(i1 - i0, j1 - j0):
+                m, i0, i1, j0, j1 = similar_part(pairs, min_similarity)
+            if m >= least:
+                if best is None or m > best[1]:
+                    best = (k, m, i0, i1, n, a + j0, a + j1, m / n, m / max(i1 - i0, j1 - j0))
+            elif pairs:  # a long alignment that is no leak may hide a shorter one beside it
+                todo += [wide[:2], wide[2:]]
         if best:
             out.append(best)
     return out

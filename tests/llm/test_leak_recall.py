@@ -62,3 +62,12 @@ def test_edited_copies(changed, least):
             hit += found([" ".join(item)], [text]) == [{0}]
     print(changed, hit, of)
     assert of > 50 and hit >= least * of
+
+
+def test_leak_inside_a_long_alignment():
+    """An exact passage that the best alignment stretches over too many other words."""
+    r = random.Random(1)
+    item = [word(r) for _ in range(60)]
+    text = item[:25] + [word(r) for _ in range(24)] + item[25:40] + [word(r) for _ in range(20)] + item[40:]
+    assert not whole(" ".join(item), " ".join(text))
+    assert found([" ".join(item)], [" ".join(text)]) == [{0}]
