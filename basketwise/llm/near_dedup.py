@@ -3,7 +3,8 @@
 ProbMinHash: every distinct shingle starts a Poisson process with its count as rate; each arrival falls on one of the
 signature's places and takes it if nothing came earlier. A shingle stops once its next arrival is later than the latest
 of all places, so most shingles need one or two arrivals. The share of equal places estimates the probability Jaccard
-similarity. Bands of places are hashed into buckets.
+similarity. Bands of places are hashed into buckets. Links are verified by the similarity of distinct shingles, so a
+text that repeats some also enters the buckets of its sketch with every weight 1.
 
 Equal texts are merged first. In a bucket every text is linked to the bucket's first one, which gives families:
 everything that could be similar lies in one family, at one row a text and bucket. Families are then compared exactly,
@@ -94,6 +95,20 @@ def band_hashes(signatures: np.ndarray, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def all_bands(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int, bands: int, rows: int) -> list[list[int]]:
+    """Bands of n documents: by counts, and, where a shingle is repeated, also with every weight 1. Without repeats both
+    are the same."""
+    out = band_hashes(prob_minhash(doc, shingle, count.astype(float), n, bands * rows), bands).tolist()
+    again = np.unique(doc[count > 1])
+    if len(again):
+        own = np.isin(doc, again)
+        place = np.searchsorted(again, doc[own])
+        plain = prob_minhash(place, shingle[own], np.ones(len(place)), len(again), bands * rows)
+        for i, b in zip(again.tolist(), band_hashes(plain, bands).tolist()):
+            out[i] += b
+    return out
+
+
 def _slices(texts: list[str], limit: int = 1_500_000):
     at = size = 0
     for i, t in enumerate(texts):
@@ -106,7 +121,7 @@ def _slices(texts: list[str], limit: int = 1_500_000):
 
 
 def bands_column(text, width: int, bands: int, rows: int):
-    """array<bigint> of band hashes; empty for a text without words."""
+    """array<bigint> of band hashes, by counts and by distinct shingles; empty for a text without words."""
 
     @F.arrow_udf("array<bigint>")
     def banded(column: pa.Array) -> pa.Array:
@@ -114,7 +129,7 @@ def bands_column(text, width: int, bands: int, rows: int):
         out = []
         for a, b in _slices(texts):
             doc, e, c = shingles_of(texts[a:b], width)
-            found = band_hashes(prob_minhash(doc, e, c.astype(float), b - a, bands * rows), bands).tolist()
+            found = all_bands(doc, e, c, b - a, bands, rows)
             some = np.bincount(doc, minlength=b - a) > 0
             out += [f if s else [] for f, s in zip(found, some.tolist())]
         return pa.array(out, pa.list_(pa.int64()))
