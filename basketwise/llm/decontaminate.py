@@ -158,43 +158,95 @@ def passages(hits: list[tuple[int, int]], length: int, slack: int) -> Iterator[t
             part.append(hit)
 
 
-def leaks_of(own: np.ndarray, items: list[tuple], seeds: dict, tables: dict, min_cover: float, min_similarity: float, long_match: int) -> list[tuple]:
-    """Rows of LEAKS of one document's words: for each item the leak with most matches."""
-    by_item = defaultdict(set)
-    for shape, table in tables.items():
-        of, grams = seeds[shape], grams_of(own, shape)
-        for pos in table.hits(grams).tolist():
-            for k, at in of[int(grams[pos])]:
-                by_item[k].add((pos, at))
-    out, plain = [], own.tolist() if by_item else []
-    for k, hits in by_item.items():
-        item, known = items[k][1], items[k][2]
-        n, best = len(item), None
-        least = least_matches(n, min_cover, long_match)
-        todo = list(passages(hits, n, 2 + int(n * (1 / min_similarity - 1))))
-        while todo:
-            a, b = todo.pop()
-            a, b = max(a, 0), min(b, len(own))
+def best_scores(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 18) -> np.ndarray:
+    """The best Smith-Waterman score of each (item, passage). Pairs of about one size are worked out side by side, a row
+    of the tables at a time, so memory is a few times `cells` numbers or one row of the longest passage."""
+    out = np.zeros(len(pairs), np.int64)
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
+    at = 0
+    while at < len(order):
+        m = int(len(pairs[order[at]][1]) * 1.25) + 8
+        part = [k for k in order[at : at + max(1, cells // m)] if len(pairs[k][1]) <= m]
+        at += len(part)
+        part.sort(key=lambda k: -len(pairs[k][0]))
+        sizes = np.array([len(pairs[k][0]) for k in part])
+        # words are odd numbers: 0 and 2 stand for none
+        items, texts = np.zeros((len(part), int(sizes[0])), U), np.full((len(part), m), U(2))
+        for row, k in enumerate(part):
+            items[row, : len(pairs[k][0])] = pairs[k][0]
+            texts[row, : len(pairs[k][1])] = pairs[k][1]
+        steps = np.arange(m + 1, dtype=np.int32) * -GAP
+        above, best = np.zeros((len(part), m + 1), np.int32), np.zeros(len(part), np.int32)
+        for i in range(int(sizes[0])):
+            n = int(np.searchsorted(-sizes, -i, side="left"))  # items that have a word here stand first
+            same = texts[:n] == items[:n, i : i + 1]
+            row = np.zeros((n, m + 1), np.int32)
+            row[:, 1:] = np.maximum(above[:n, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), above[:n, 1:] + GAP)
+            np.maximum(row, 0, out=row)
+            # a gap in the item: the best earlier cell of the row less the way to here
+            row += steps
+            np.maximum.accumulate(row, axis=1, out=row)
+            row -= steps
+            above = row
+            np.maximum(best[:n], row.max(axis=1), out=best[:n])
+        out[part] = best
+    return out
+
+
+def leaks_in(texts: list[np.ndarray], items: list[tuple], seeds: dict, tables: dict, min_cover: float, min_similarity: float, long_match: int) -> list[list[tuple]]:
+    """Rows of LEAKS of each document's words: for each item the leak with most matches. Passages of all documents are
+    scored side by side; only those that can be a leak by their score are aligned."""
+    todo: list[tuple[int, int, int, int]] = []
+    for d, own in enumerate(texts):
+        by_item = defaultdict(set)
+        for shape, table in tables.items():
+            of, grams = seeds[shape], grams_of(own, shape)
+            for pos in table.hits(grams).tolist():
+                for k, at in of[int(grams[pos])]:
+                    by_item[k].add((pos, at))
+        for k, hits in by_item.items():
+            n = len(items[k][1])
+            for a, b in passages(hits, n, 2 + int(n * (1 / min_similarity - 1))):
+                # an alignment spans at most three times the item: longer stretches are cut into overlapping ones
+                last = max(b - 4 * n, a) if b - a > 8 * n else a
+                todo += [(d, k, i, min(i + 4 * n, b) if last > a else b) for i in (*range(a, last, n), last)]
+    best: dict[tuple[int, int], tuple] = {}
+    plain: dict[int, list[int]] = {d: texts[d].tolist() for d in {x[0] for x in todo}}
+    while todo:
+        likely = []
+        for d, k, a, b in todo:
+            a, b = max(a, 0), min(b, len(texts[d]))
             # no more words match than are the item's at all
-            if sum(map(known.__contains__, plain[a:b])) < least:
-                continue
-            score, i0, i1, j0, j1, pairs = align_pairs(item, own[a:b])
+            if sum(map(items[k][2].__contains__, plain[d][a:b])) >= least_matches(len(items[k][1]), min_cover, long_match):
+                likely.append((d, k, a, b))
+        scores = best_scores([(items[k][1], texts[d][a:b]) for d, k, a, b in likely])
+        todo = []
+        for (d, k, a, b), most in zip(likely, scores.tolist()):
+            item, own = items[k][1], texts[d]
+            n, least = len(item), least_matches(len(item), min_cover, long_match)
             # a leak loses at most a point for each word of either side that does not match
-            if score < least * (MATCH - 2 * (1 / min_similarity - 1)) - 1e-9 and len(pairs) < least:
+            if most < least * (MATCH - 2 * (1 / min_similarity - 1)) - 1e-9:
                 continue
+            _, i0, i1, j0, j1, pairs = align_pairs(item, own[a:b])
             m, wide = len(pairs), (a, a + j0, a + j1, b)
             if m < min_similarity * max(i1 - i0, j1 - j0):
                 m, i0, i1, j0, j1 = similar_part(pairs, min_similarity)
             if m >= least:
-                if best is None or m > best[1]:
-                    best = (k, m, i0, i1, n, a + j0, a + j1, m / n, m / max(i1 - i0, j1 - j0))
+                if (d, k) not in best or m > best[d, k][1]:
+                    best[d, k] = (k, m, i0, i1, n, a + j0, a + j1, m / n, m / max(i1 - i0, j1 - j0))
             elif pairs:  # a long alignment that is no leak may hide a shorter one beside it
-                todo += [wide[:2], wide[2:]]
-        if best:
-            out.append(best)
+                todo += [(d, k, *wide[:2]), (d, k, *wide[2:])]
+    out: list[list[tuple]] = [[] for _ in texts]
+    for (d, _), row in best.items():
+        out[d].append(row)
     return out
 
 
+def leaks_of(own: np.ndarray, *how) -> list[tuple]:
+    """leaks_in() of one document."""
+    return leaks_in([own], *how)[0]
+
+
 def _leaks_in(docs, items, seeds, min_cover, min_similarity, long_match, key, text):
     fields = [x.rsplit(" ", 1) for x in LEAKS.split(", ")]
 
@@ -202,11 +254,15 @@ def _leaks_in(docs, items, seeds, min_cover, min_similarity, long_match, key, te
         words, tables = Words(), {shape: SeedTable(np.fromiter(of, U, len(of))) for shape, of in seeds.items()}
         known = [(i, w, set(w.tolist())) for i, w in items]
         for batch in batches:
-            keys, rows = [], []
+            keys, rows, part, size = [], [], [], 0
             for place, t in enumerate(batch.column(1)):
-                found = leaks_of(words(t.as_py()), known, seeds, tables, min_cover, min_similarity, long_match)
-                keys += [place] * len(found)
-                rows += found
+                part.append(words(t.as_py()))
+                size += len(part[-1])
+                if size > 200_000 or place == batch.num_rows - 1:  # so many words are held at a time
+                    for i, found in enumerate(leaks_in(part, known, seeds, tables, min_cover, min_similarity, long_match)):
+                        keys += [place - len(part) + 1 + i] * len(found)
+                        rows += found
+                    part, size = [], 0
             columns = [pa.array(c, pa.float64() if kind == "double" else pa.int64()) for c, (_, kind) in zip(zip(*rows) if rows else [[]] * len(fields), fields)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), *columns], ["k", *(f for f, _ in fields)])
 
@@ -223,12 +279,13 @@ def find_leaks(
     passage of each row and item. Places count words, ends exclusive.
 
     cover: matching words over the item's words; similarity: matching words over the longer of the two aligned parts.
-    Items and texts that are null or without words are in no leak.
-    Repeated rows have results each; null keys are kept. Empty tables give an empty table. Texts are searched whole.
+    Items and texts that are null or without words are in no leak. Of leaks of one item with equally many matches the
+    first in the text is given. Repeated rows have results each; null keys are kept. Empty tables give an empty table.
+    Texts of any length are searched whole; other columns are left out.
     """
     spark, words = docs.sparkSession, Words()
-    size = items.agg(F.sum(F.length(item_text))).first()[0] or 0
-    blocks = 1 + 3 * size // (4 * block_seeds)  # three seeds a word, which with its blank takes more than four characters in most texts
+    size = items.agg(F.sum(F.size(F.split(item_text, r"\s+")).cast("long"))).first()[0] or 0
+    blocks = 1 + 3 * size // block_seeds  # three seeds a word at most
     parted = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("t is not null")
     out = []
     for b in range(blocks):
@@ -247,9 +304,9 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without the rows whose text leaks an item; all columns kept. The search tells rows by a hash of the text,
-    so null and repeated keys are safe."""
-    marked = docs.withColumn("_th", F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), F.col(text))).cast("struct<a:bigint,b:bigint>"))
-    rows = marked.select(F.concat_ws(":", "_th.a", "_th.b").alias("_id"), F.col(text).alias("_text"))
-    leaks = find_leaks(rows, items, key="_id", text="_text", **options).select("_id").distinct()
-    return marked.withColumn("_id", F.concat_ws(":", "_th.a", "_th.b")).join(leaks, "_id", "left_anti").drop("_th", "_id")
+    """docs without the rows whose text leaks an item; all columns kept, whatever their names. The search tells rows by
+    a hash of the text, so null and repeated keys are safe; null and empty texts stay."""
+    rows = docs.select(F.concat_ws(":", F.xxhash64(text), F.xxhash64(F.lit(1), F.col(text))).alias("id"), F.struct(*docs.columns).alias("row"))
+    named = rows.select("id", F.col("row").getField(text).alias("text"))
+    leaks = find_leaks(named, items, key="id", text="text", item_key=options.pop("item_key", "item_id"), **options).select("id").distinct()
+    return rows.join(leaks, "id", "left_anti").select("row.*")
