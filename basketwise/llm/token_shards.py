@@ -7,8 +7,9 @@ a key's bit is its slot. Every slot stores a 32-bit fingerprint of its key, the
 lookup touches a few bits and one slot, and tells a foreign key by the fingerprint. Null keys have a place in the
 payload but no slot; a repeated key's slot names the first of its run of documents, which stand next to each other.
 
-Spark writes the shards with its text writer (a binary column cast to string is written byte by byte), so they land
-through the commit protocol in any file system Spark can write, and reads them back as binaryFile.
+Spark writes the shards with its text writer (a binary column cast to string is written byte by byte), each in a file
+of its own, so they land through the commit protocol in any file system Spark can write, and reads them back as
+binaryFile. A shard's header holds the number of the task that wrote it and its number there, which give the order.
 """
 
 from __future__ import annotations
@@ -16,18 +17,20 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # fixed values of the file format
-MAGIC = b"BWSHARD1"
-HEAD = struct.Struct("<8sIIIIIQ")  # magic, bytes an id, documents, keys, levels, null keys, ids
+MAGIC = b"BWSHARD2"
+HEAD = struct.Struct("<8sIIIIIIIQ")  # magic, task, shard of the task, bytes an id, documents, keys, levels, null keys, ids
 GAMMA = 1.5
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
@@ -74,8 +77,9 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_hash(keys, 1 << 20) >> np.uint64(32)).astype(np.uint32)
 
 
-def pack_shard(keys: list[int | None], ids: list[bytes], width: int = 4) -> bytes:
-    """One shard from documents in ascending key order, null keys first; ids come packed, width bytes each."""
+def pack_shard(keys: list[int | None], ids: list[bytes], width: int = 4, task: int = 0, number: int = 0) -> bytes:
+    """One shard, the number-th of a task, from documents in ascending key order, null keys first; ids come packed,
+    width bytes each."""
     lengths = np.array([len(b) // width for b in ids], np.uint64)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.uint64) if len(ids) else lengths
     known = np.array([k is not None for k in keys], bool)
@@ -91,7 +95,7 @@ def pack_shard(keys: list[int | None], ids: list[bytes], width: int = 4) -> byte
     run = np.diff(np.concatenate([place, [len(keys)]])).astype(np.uint32)
     times = np.zeros(len(slot), np.uint32)
     times[slot] = run
-    parts = [HEAD.pack(MAGIC, width, len(keys), len(slot), len(index.levels), int((~known).sum()), int(lengths.sum()))]
+    parts = [HEAD.pack(MAGIC, task, number, width, len(keys), len(slot), len(index.levels), int((~known).sum()), int(lengths.sum()))]
     for bits in index.levels:
         parts += [struct.pack("<I", len(bits)), np.packbits(bits).tobytes()]
     parts += [marks.tobytes(), ordinal.tobytes(), times.tobytes(), own.astype("<i8").tobytes()]
@@ -103,7 +107,7 @@ class Shard:
     """Keyed access to one packed shard; nothing but the header and index is unpacked."""
 
     def __init__(self, blob: memoryview, at: int = 0):
-        magic, self.width, self.docs, n, levels, self.nulls, self.ids = HEAD.unpack_from(blob, at)
+        magic, self.task, self.number, self.width, self.docs, n, levels, self.nulls, self.ids = HEAD.unpack_from(blob, at)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         at += HEAD.size
@@ -156,8 +160,8 @@ class WordEncoder:
     """Ids of texts by the tokenizers library, asked once for each run of non-blanks.
 
     White space parts the pieces of such a vocabulary (its pattern never matches across), so the ids of a text are
-    those of its words in a row; a mark at the end of a run of letters is a piece of its own. Words not yet known are
-    encoded a batch at a time.
+    those of its words in a row; a mark at the end of a run of letters is a piece of its own, if the letters are still
+    letters once the library has normalised them (see plain). Words not yet known are encoded a batch at a time.
     """
 
     def __init__(self, path: str):
@@ -172,17 +176,26 @@ class WordEncoder:
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @staticmethod
+    def plain(word: str) -> bool:
+        """Whether it is letters only, of scripts whose letters no version of Unicode still changes, and stays so when
+        composed and lowered: a letter may turn into a letter and a mark, which would join the mark after it."""
+        if word.isascii():
+            return word.isalpha()
+        lowered = unicodedata.normalize("NFC", word).lower()
+        return lowered.isalpha() and max(lowered) < "\u0530" and word.isalpha()
+
     def ask(self, words: list[str]) -> None:
         for word, found in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
             self.kept[word] = np.array(found.ids, "<u4").tobytes()
 
     def ask_letters(self, words: list[str]) -> None:
-        """Words of letters only are one piece each, and its last id tells where it ends: they are encoded in one text."""
+        """Plain words are one piece each, and its last id tells where it ends: they are encoded in one text."""
         if not words:
             return
         ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) != len(words):  # a letter that isn't one once lowered
+        if len(ends) != len(words):
             return self.ask(words)
         data, at = ids.tobytes(), 0
         for word, end in zip(words, (4 * ends).tolist()):
@@ -200,9 +213,9 @@ class WordEncoder:
         for w in again:
             known[w] = older[w]
         new -= again
-        ends = {w for w in new if w[:-1].isalpha() and w[-1] in ",.;:!?"}
+        ends = {w for w in new if w[-1:] in set(",.;:!?") and self.plain(w[:-1])}
         pieces = (new - ends) | {p for w in ends for p in (w[:-1], w[-1]) if p not in known}
-        letters = {w for w in pieces if w.isalpha()}
+        letters = {w for w in pieces if self.plain(w)}
         self.ask_letters(sorted(letters))
         self.ask(sorted(pieces - letters))
         for w in ends:
@@ -217,9 +230,14 @@ def _encoder(path: str) -> WordEncoder:
 
 def write_shards(
     docs: DataFrame, path: str, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text",
-    width: int = 2, shard_bytes: int = 16 << 20,
+    width: int | None = None, shard_bytes: int = 16 << 20,
 ) -> None:
-    """Encode whole texts and write them as shards in ascending key order.
+    """Encode whole texts and write them as shards in ascending key order, ids of width bytes (2 or 4; None: as many as
+    the vocabulary and end_id need; an id that doesn't fit is an error).
+
+    Null and empty texts are the end id alone. Null keys come first, repeated keys and rows stand next to each other in
+    the order of a hash of their texts; rows equal in both keep their own places. Texts are encoded whole, one longer
+    than a shard has a shard to itself. An empty table writes no shard. Other columns are left out.
 
     Texts are range-partitioned on the key (then a hash of the text, so that one key with very many documents is
     still parted) and encoded where they land; a task holds one shard at a time and rolls to the next at shard_bytes.
@@ -228,12 +246,15 @@ def write_shards(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list = []
         blobs: list = []
-        size = 0
+        size = number = 0
+        encoder, tail, task = _encoder(vocabulary), struct.pack("<I", end_id), TaskContext.get().partitionId()
+        highest = max(len(encoder.ends_word) - 1, end_id)
+        size_of_id = width or (2 if highest < 1 << 16 else 4)
+        if highest >= 1 << 8 * size_of_id:
+            raise ValueError(f"ids of up to {highest} don't fit into {size_of_id} bytes")
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([pack_shard(keys, blobs, width)], pa.binary())], ["shard"])
-
-        encoder, tail = _encoder(vocabulary), struct.pack("<I", end_id)
+            return pa.RecordBatch.from_arrays([pa.array([pack_shard(keys, blobs, size_of_id, task, number)], pa.binary())], ["shard"])
 
         def encoded():
             for batch in batches:
@@ -244,60 +265,59 @@ def write_shards(
 
         for k, b in encoded():
             keys.append(k)
-            blobs.append(b if width == 4 else np.frombuffer(b, "<u4").astype("<u2").tobytes())
+            blobs.append(b if size_of_id == 4 else np.frombuffer(b, "<u4").astype("<u2").tobytes())
             size += len(blobs[-1]) + 24
             if size >= shard_bytes:
                 yield out()
-                keys, blobs, size = [], [], 0
+                keys, blobs, size, number = [], [], 0, number + 1
         if keys:
             yield out()
 
     dealt = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
     dealt = dealt.repartitionByRange(F.col("k"), F.col("h")).sortWithinPartitions("k", "h")
-    dealt.select("k", "t").mapInArrow(pack, "shard binary").select(F.col("shard").cast("string").alias("value")).write.text(path)
+    dealt.select("k", "t").mapInArrow(pack, "shard binary").select(F.col("shard").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def _shards(spark: SparkSession, path: str, of_shard, schema: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                blob, at, n = memoryview(content.as_buffer()), 0, 0
+            for content in batch.column(0):
+                blob, at = memoryview(content.as_buffer()), 0
                 while at < len(blob):
                     s = Shard(blob, at)
-                    yield of_shard(name, n, s)
-                    at, n = s.end + 1, n + 1  # the text writer ends each shard with a newline
+                    yield of_shard(s)
+                    at = s.end + 1  # the text writer ends each shard with a newline
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(scan, schema)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, schema)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, by reading the files back.
 
-    Every document is fetched by its key through its shard's index. Starts within a shard come from the shard; the
-    ids before the shard from the shards' totals, one row a shard.
+    Every document is fetched by its key through its shard's index. Starts within a shard come from the shard; the ids
+    before the shard from the totals of the shards of its task (a window by task) and of the tasks (one row a task).
+    No shards: no rows. Null and repeated keys have a row for each document.
     """
 
-    def documents(name: str, n: int, s: Shard) -> pa.RecordBatch:
+    def documents(s: Shard) -> pa.RecordBatch:
         at = s.places()
         crc = [zlib.crc32(s.read(i)) for i in at.tolist()]
         keys = pa.array([None] * s.nulls + s.keys.tolist(), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array([name] * s.docs, pa.string()), pa.array([n] * s.docs, pa.int32()), keys,
+            [pa.array([s.task] * s.docs, pa.int64()), pa.array([s.number] * s.docs, pa.int64()), keys,
              pa.array(s.starts[at].astype(np.int64)), pa.array(s.lengths[at].astype(np.int64)),
              pa.array(crc, pa.int64())],
-            ["file", "shard", "doc_id", "start", "n_tokens", "ids_crc32"],
+            ["task", "shard", "doc_id", "start", "n_tokens", "ids_crc32"],
         )
 
-    def totals(name: str, n: int, s: Shard) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([name]), pa.array([n], pa.int32()), pa.array([s.ids], pa.int64())], ["file", "shard", "ids"]
-        )
+    def totals(s: Shard) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (s.task, s.number, s.ids)], ["task", "shard", "ids"])
 
-    rows = _shards(spark, path, documents, "file string, shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("file", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    sums = _shards(spark, path, totals, "file string, shard int, ids long").select(
-        "file", "shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base")
-    )
-    return rows.join(sums, ["file", "shard"]).select(
-        "doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32"
+    rows = _shards(spark, path, documents, "task long, shard long, doc_id long, start long, n_tokens long, ids_crc32 long")
+    sums = _shards(spark, path, totals, "task long, shard long, ids long")
+    before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_task = sums.groupBy("task").agg(F.sum("ids").alias("ids")).select("task", before(Window.orderBy("task")).alias("tasks_before"))
+    base = sums.select("task", "shard", before(Window.partitionBy("task").orderBy("shard")).alias("shards_before")).join(of_task, "task")
+    return rows.join(base, ["task", "shard"]).select(
+        "doc_id", (F.col("tasks_before") + F.col("shards_before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32"
     )
