@@ -160,8 +160,7 @@ def test_line_links_are_whole(spark):
         (i, j) for i, j in itertools.combinations(place, 2)
         if bin(prints[i] ^ prints[j]).count("1") <= 3 and edits(lines[i].split(), lines[j].split()) <= math.floor(max(len(lines[i].split()), len(lines[j].split())) * 0.1 + 1e-9)
     ]
-    want = groups_of(links, place)
-    assert links and len({(want[i], place[i]) for i in place}) == len(set(want.values())) == len(set(place.values()))
+    assert links and all(place[i] == place[j] for i, j in links)  # other keys may join more
 
 
 def test_lines_are_compared_by_letters(spark):
