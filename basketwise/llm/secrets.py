@@ -2,8 +2,9 @@
 
 All native: patterns, lengths and arrays are built-in functions. The spans of a pattern come from cutting the text at
 its matches: pieces and matches alternate, so the running sum of their lengths gives every start and end. Parts (access
-identifiers, secrets, endpoints) of a document become rows of one shuffle keyed by the row; a range frame around each
-part is the interval join that says which other parts stand within its scope, without pairs.
+identifiers, secrets, endpoints) of a document become rows of one shuffle keyed by the row. The interval join needs no
+pairs: of the parts that start no later than this one the latest end tells whether one stands near before it, of those
+that start no earlier the first start tells whether one stands near after it, for each side.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ HEX = r"[0-9a-f]{32,}"
 MIN_ASSIGN, MIN_ACCESS = 8, 16
 
 # weak patterns of our own: identifiers, high-variety strings and places to log in to
-USER = r"""(?i:\b(?:user(?:_?name|_?id)?|login|client_?id|account(?:_?id)?|access_?key_?id))["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9_.@-]{3,64}"""
-KEY = r"\b(?=[A-Za-z0-9+/_]{0,63}[0-9])(?=[A-Za-z0-9+/_]{0,63}[a-z])(?=[A-Za-z0-9+/_]{0,63}[A-Z])[A-Za-z0-9+/_]{20,}"
-PLACE = r"""(?:\b[a-z][a-z0-9+.-]{1,10}://[^\s"'<>]{4,}|(?i:\b(?:host|endpoint|server|url|bucket))["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9_.:/-]{4,})"""
+USER = r"""(?i:\b(?:user(?:_?name|_?id)?|login|client_?id|account(?:_?id)?|access_?key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
+# a run is tried once, from its start, so long runs cost no more than their length
+KEY = r"(?<![A-Za-z0-9+/_])(?=[A-Za-z0-9+/_]*[0-9])(?=[A-Za-z0-9+/_]*[a-z])(?=[A-Za-z0-9+/_]*[A-Z])[A-Za-z0-9+/_]{20,}"
+PLACE = r"""(?:(?<![a-z0-9+.-])[a-z][a-z0-9+.-]+://[^\s"'<>]{4,}|(?i:\b(?:host|endpoint|server|url|bucket))["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.:/-]{4,})"""
 
 KINDS = ("assign", "access", "hex", "user", "key", "place")
 BASE = KINDS[:3]
@@ -74,10 +76,11 @@ def joined(spans: Column) -> Column:
 def find_secrets(docs: DataFrame, scope: int = 300, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, n_assign, n_access, n_hex, base_sha256, spans.
 
-    A weak part (user, key, place) within `scope` characters of parts of both other sides is reported, and so is a
-    weak identifier or key next to a part of the opposite side whose base pattern matched. Null or empty text: no spans
-    (base_sha256 of the empty string). Repeated rows and null keys keep their own rows, parted by a row number given
-    at the scan; further columns are left out.
+    A weak part (user, key, place) with parts of both other sides at most `scope` characters away (from the end of the
+    one to the start of the other, overlapping ones at 0) is reported, and so is a weak identifier or key that near to a
+    part of the opposite side whose base pattern matched; not if it starts inside a base span. Null or empty text: no
+    spans (base_sha256 of the empty string). Texts of any length are searched whole. Repeated rows and null keys keep
+    their own rows, parted by a row number given at the scan; an empty table stays empty; further columns are left out.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(
@@ -95,11 +98,18 @@ def find_secrets(docs: DataFrame, scope: int = 300, key: str = "doc_id", text: s
     parts = rows.select(
         "row", "_k", F.explode(F.concat(F.array(head), "base", "weak")).alias("p")
     ).select("row", "_k", "p.*")
-    near = Window.partitionBy("row").orderBy("s").rangeBetween(-scope, scope)
+    so_far = Window.partitionBy("row").orderBy("s").rangeBetween(Window.unboundedPreceding, 0)
+    from_here = Window.partitionBy("row").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0)
     side = F.element_at(F.array(*[F.lit(SIDES[k]) for k in KINDS]), F.when(F.col("k") >= 0, F.col("k") + 1).otherwise(1))
     real = F.col("k") >= 0
-    has = lambda what: F.max(real & (F.col("side") == what)).over(near)
-    strong = lambda what: F.max(real & (F.col("side") == what) & (F.col("k") < len(BASE))).over(near)
+
+    def near(which):
+        before = F.max(F.when(real & which, F.col("e"))).over(so_far) >= F.col("s") - scope
+        after = F.min(F.when(real & which, F.col("s"))).over(from_here) <= F.col("e") + scope
+        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
+
+    has = lambda what: near(F.col("side") == what)
+    strong = lambda what: near((F.col("side") == what) & (F.col("k") < len(BASE)))
     seen = parts.withColumn("side", side).select(
         "*", has("id").alias("id"), has("secret").alias("sec"), has("place").alias("pl"),
         strong("id").alias("sid"), strong("secret").alias("ssec"),
