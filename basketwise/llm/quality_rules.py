@@ -1,9 +1,10 @@
 """Quality rules: a learned decision list over text statistics, emitted as one Spark conditional expression.
 
 Sequential covering with pruning. The labelled rows are split in two: on the first part a conjunction of thresholds is
-grown one test at a time by information gain; on the second part its last tests are dropped while that raises its
-precision. Rows that a rule covers are taken out, and the next rule is grown, until a rule is no better than the rest
-of the rows. Rules come out in order as (tests, verdict), and verdict() turns them into when(...).when(...).otherwise().
+grown one test at a time by information gain, one for either verdict; on the second part its last tests are dropped while
+that raises its precision. The better of the two is the next rule, the rows it covers are taken out, and so on until no
+rule is better than the rest of the rows. What no rule covers gets the verdict of most rows left. Rules come out in order
+as (tests, verdict), the default as a rule without tests, and verdict() turns them into when(...).when(...).otherwise().
 Fitting takes a bounded sample of labelled rows (parameter sample_rows); all else covers every row.
 """
 
@@ -147,37 +148,51 @@ def learn_rules(
     x: np.ndarray, good: np.ndarray, names: list[str], max_rules: int = 12, max_tests: int = 4,
     min_precision: float = 0.9, min_covered: int = 3, seed: int = 7,
 ) -> list[Rule]:
-    """Ordered rules that reject; what none of them covers is kept. Rows are the same whatever their order: they are
-    sorted first. Fewer than min_covered bad rows, or none good: no rules, everything is kept."""
+    """Ordered rules of either verdict; a last one without tests if what is left is rejected, else it is kept. Rows are
+    the same whatever their order: they are sorted first. Fewer than min_covered rows of a verdict: no rule for it. Of
+    two rules with equal gain the rejecting one comes first."""
     order = np.lexsort(np.column_stack([x, good]).T)
     x, good = x[order], good[order]
     part = np.random.default_rng(seed).random(len(x)) < 2 / 3
     left = np.ones(len(x), bool)
     rules: list[Rule] = []
-    while len(rules) < max_rules:
+
+    def next_rule(keep: bool):
+        """(gain, rule, rows covered) of the best rule for a verdict, None if it is no better than the rest."""
+        target = good == keep
         grow, prune = left & part, left & ~part
-        if (~good[grow]).sum() < min_covered or not good[grow].any():
-            break
-        tests = _grow(x[grow], ~good[grow], names, max_tests)
+        if target[grow].sum() < min_covered or target[grow].all():
+            return None
+        tests = _grow(x[grow], target[grow], names, max_tests)
 
         def worth(ts):
             c = _covered(ts, x[prune], names)
-            p, n = (c & ~good[prune]).sum(), (c & good[prune]).sum()
+            p, n = (c & target[prune]).sum(), (c & ~target[prune]).sum()
             return (p - n) / max(p + n, 1)
 
         while len(tests) > 1 and worth(tests[:-1]) >= worth(tests):
             tests = tests[:-1]
         c = _covered(tests, x, names) & left
-        bad, kept = (c & ~good).sum(), (c & good).sum()
-        if not tests or bad < min_covered or bad < min_precision * (bad + kept):
+        hit, all_hit, rest = (c & target).sum(), (left & target).sum(), left.sum()
+        if not tests or hit < min_covered or hit < min_precision * c.sum() or hit * rest <= all_hit * c.sum():
+            return None
+        return hit * (np.log2(hit / c.sum()) - np.log2(all_hit / rest)), Rule(tuple(tests), keep), c
+
+    while len(rules) < max_rules:
+        found = [r for r in (next_rule(False), next_rule(True)) if r]
+        if not found:
             break
-        rules.append(Rule(tuple(tests), False))
-        left &= ~c
-    return rules
+        _, rule, covered = max(found, key=lambda r: r[0])
+        rules.append(rule)
+        left &= ~covered
+    default = not left.any() or 2 * good[left].sum() >= left.sum()
+    while rules and rules[-1].keep == default:  # says what the default says
+        rules.pop()
+    return rules if default else [*rules, Rule((), False)]
 
 
 def verdict(rules: list[Rule], stats: str) -> Column:
-    """The rules in order as one conditional expression; true keeps."""
+    """The rules in order as one conditional expression; true keeps. A rule without tests holds for all rows left."""
     out = None
     for rule in rules:
         test = F.lit(True)
@@ -192,30 +207,34 @@ def fit_rules(
     label: str = "quality", **options,
 ) -> list[Rule]:
     """Rules from at most sample_rows labelled documents, taken by the order of a hash of the key (so the same ones
-    whatever the partitions). Labels that are null, and keys without a document, are left out."""
+    whatever the partitions). Labels that are null, and keys without a document, are left out. A key with several labels
+    counts with the least of them, one with several documents with the one of least counts. No labels: no rules."""
     picked = (
         labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-        .groupBy(F.col(key)).agg(F.min(label).alias("_label"))
-        .orderBy(F.xxhash64(key), key).limit(sample_rows)
+        .groupBy(F.col(key).alias("id")).agg(F.min(label).alias("label"))
+        .orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     )
-    wanted = {r[0]: r[1] for r in picked.collect()}  # bounded by sample_rows
+    wanted = [tuple(r) for r in picked.collect()]  # bounded by sample_rows
     if not wanted:
         return []
-    small = docs.sparkSession.createDataFrame(list(wanted.items()), picked.schema)
-    rows = (
-        docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(small), key)
-        .select("_label", stats_column(F.col("_text")).alias("s")).select("_label", "s.*").collect()
-    )
+    small = docs.sparkSession.createDataFrame(wanted, picked.schema)
+    stats = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(small), "id").select(
+        "id", "label", stats_column(F.col("t")).alias("s")
+    )
+    # a key may have many rows: one of them, so that what is collected stays within sample_rows
+    rows = stats.groupBy("id", "label").agg(F.min("s").alias("s")).select("label", "s.*").collect()
     rows = [r for r in rows if r["n_words"] >= MIN_WORDS]
     names = list(SHARES)
     x = np.array([[r[a] / max(r[b], 1) for a, b in SHARES.values()] for r in rows], float).reshape(-1, len(names))
-    return learn_rules(x, np.array([bool(r["_label"]) for r in rows], bool), names, **options)
+    return learn_rules(x, np.array([bool(r["label"]) for r in rows], bool), names, **options)
 
 
 def judge(docs: DataFrame, rules: list[Rule], text: str = "text", prefix: str = "_quality") -> DataFrame:
     """docs with the struct <prefix>_stats and the booleans <prefix>_base_failed and <prefix>_kept added.
 
-    Row-local: no shuffle. Null and empty texts have no words and fail the base test.
+    Row-local: no shuffle. Null and empty texts have no words and fail the base test; repeated rows and null keys are
+    judged each for itself, texts of any length whole. Columns that have the names added are replaced. An empty table
+    stays empty.
     """
     s = f"{prefix}_stats"
     failed = (F.col(f"{s}.n_words") < MIN_WORDS) | (
