@@ -252,7 +252,7 @@ def companions_custnat(spark, sf_dir):
     f"WITH {CUSTNAT}, asked AS (SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name), "
     "full_ AS (SELECT a, b, coalesce(x.n, 0) AS n_a, coalesce(y.n, 0) AS n_b, coalesce(co, 0) AS co FROM asked LEFT JOIN counts x ON x.entity = a LEFT JOIN counts y ON y.entity = b "
     "LEFT JOIN pairs p ON p.entity_a = least(a, b) AND p.entity_b = greatest(a, b)) "
-    f"SELECT a, b, n_a, n_b, co, round_even({wilson_sql('co', 'n_a')}, 4) AS confidence_ab, round_even({wilson_sql('co', 'n_b')}, 4) AS confidence_ba, "
+    f"SELECT a, b, n_a, n_b, co, round_even({wilson_sql('co', 'n_a')}, 4) + 0.0 AS confidence_ab, round_even({wilson_sql('co', 'n_b')}, 4) + 0.0 AS confidence_ba, "
     f"n_a >= 10 AND {wilson_sql('co', 'n_a')} >= 0.6 AS is_rule_ab, n_b >= 10 AND {wilson_sql('co', 'n_b')} >= 0.6 AS is_rule_ba FROM full_"
 )
 def explain_pairs_custnat(spark, sf_dir):

@@ -29,8 +29,8 @@ def wilson_sql(co: str, n: str) -> str:
 
 
 def round_conf(confidence) -> Column:
-    """Half-to-even at four digits."""
-    return F.bround(_column(confidence), 4)
+    """Half-to-even at four digits; never the negative zero."""
+    return F.bround(_column(confidence), 4) + F.lit(0.0)
 
 
 def facet_class(n, co, floor: float, min_support: int) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketwise.functions.scoring import clamp_floor, edit_kind, is_eligible_source
 from basketwise.operators import facets, lookup, mining, mutes, units
-from basketwise.sources.store import Index
+from basketwise.sources.store import Index, append_findings
 
 FACET_REASON = "every changed key of the trigger is known not to predict this companion"
 COSMETIC_REASON = "the edit changes no unit of the trigger"
@@ -49,6 +49,26 @@ def check_holes(
     return holes, lookup.gate(holes, change_sets, config.fail_confidence, strict)
 
 
+def full_check(
+    index: Index, change_sets: DataFrame, source: str = "check", at: Column | None = None, unit_index: Index | None = None,
+    changed_units: DataFrame | None = None, findings_path: str | None = None, strict: bool = False, **how,
+) -> dict[str, DataFrame]:
+    """One answer to a check: holes and gate (as check_holes), coverage and entities (what the inputs have been seen),
+    unit_holes where a unit index and changed units are given; appended to the findings where a path is given."""
+    holes, verdict = check_holes(index, change_sets, changed_units=changed_units, strict=strict, **how)
+    out = {
+        "holes": holes, "gate": verdict, "coverage": lookup.coverage(change_sets, index.counts, index.config.min_support),
+        "entities": lookup.checked_entities(change_sets, index.counts, index.config.min_support),
+    }
+    if unit_index is not None and changed_units is not None:
+        out["unit_holes"] = find_unit_holes(unit_index, changed_units)
+    if findings_path is not None:
+        row = F.struct("change_set_id", "trigger", "hole", "confidence", "suppressed", "reason")
+        found = holes.select((F.current_timestamp() if at is None else at).alias("timestamp"), F.lit(source).alias("source"), row.alias("result"))
+        append_findings(found, findings_path)
+    return out
+
+
 def find_unit_holes(index: Index, changed: DataFrame) -> DataFrame:
     """Missing units of change sets, with the entity where each was last seen. changed(change_set_id, entity, units)."""
     inputs = changed.select("change_set_id", F.explode("units").alias("entity"))

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketwise.functions.scoring import wilson_lower
-from basketwise.operators.mining import pair_events
+from basketwise.operators.mining import pair_events, size_histogram
 from basketwise.sources.baskets import holdout_split
+from basketwise.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -112,7 +113,7 @@ def replay(tx: DataFrame, config: ReplayConfig = ReplayConfig()) -> DataFrame:
     """One row for each cap and floor: rules (at the end), holes, filled, fill_rate, marginal_holes, marginal_filled,
     marginal_rate; rates are null without holes. Marginal: not flagged at the baseline cap at that place and floor."""
     history, size = positioned(tx, config.holdout)
-    history = history.persist()
+    history = written(history, "replay")
     state = rule_state_asof(history, size - config.lookahead, config)
     # appearances count in every held-out transaction, whatever its size
     touches = history.where("pos >= 0").select("pos", F.explode("entities").alias("entity"))
@@ -153,6 +154,16 @@ def replay_coverage(tx: DataFrame, config: ReplayConfig = ReplayConfig()) -> Dat
     )
 
 
+def sweep(tx: DataFrame, config: ReplayConfig = ReplayConfig(), path: str | None = None) -> dict[str, DataFrame]:
+    """The whole sweep over caps and floors: cells (also written as CSV where a path is given), coverage of the holdout
+    and the histogram of transaction sizes."""
+    cells = replay(tx, config)
+    if path is not None:
+        write_eval(cells, path)
+        cells = tx.sparkSession.read.schema(cells.schema).csv(path, header=True)
+    return {"cells": cells, "coverage": replay_coverage(tx, config), "sizes": size_histogram(tx)}
+
+
 def write_eval(cells: DataFrame, path: str) -> None:
     """One CSV line a cell, with decimal points."""
     cells.coalesce(1).write.mode("overwrite").csv(path, header=True)  # a few dozen rows

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketwise.functions.scoring import abbrev
+from basketwise.sources.scratch import written
 
 
 def _indexed(df: DataFrame, name: str) -> DataFrame:
     """Positions 0, 1, .. in the order in which df has its rows. Rows are counted a partition, and each adds the number of rows
-    in the partitions before; the partitions are kept, so that both passes see the same ones."""
-    kept = df.persist()
-    here = kept.select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"), "*")
+    in the partitions before; rows are written with their partition, so that both passes see the same ones."""
+    here = df.select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"), "*")
+    here = written(here, "numbered")
     sizes = sorted(here.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a partition
     starts, at = [], 0
     for p, n in sizes:
@@ -35,9 +36,12 @@ def numbered(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
 
 def read_commit_log(spark: SparkSession, path: str) -> DataFrame:
     """Transactions of a log: records start with 0x01, then id 0x1f subject, then one entity a line; newest first in
-    the file, numbered oldest first."""
-    raw = spark.read.option("lineSep", "\x01").text(path).where(F.trim("value") != "")
-    records = _indexed(raw, "at")
+    the file, numbered oldest first. Of several files the first by name holds the newest records; they may be split."""
+    raw = spark.read.option("lineSep", "\x01").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i")
+    )
+    # Spark deals out splits by size: the order is that of files, of places in them, and of rows of one split
+    records = numbered(written(raw.where(F.trim("value") != ""), "commit-log"), "file", "start", "i", name="at")
     lines = F.transform(F.split("value", "\n"), lambda x: F.trim(F.translate(x, "\r\t", "  ")))
     head = F.split(F.element_at(F.split("value", "\n"), 1), "\x1f", 2)
     out = records.select(

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from basketwise.config import MiningConfig
 from basketwise.operators.facets import backfill_plan, content_diffs, facet_candidates, facet_observations, facet_stats
-from basketwise.operators.mining import directed_rules, entity_counts, pairs_with_examples, prune_labels
+from basketwise.operators.mining import directed_rules, entity_counts, entity_locations, pairs_with_examples, prune_labels
+from basketwise.operators.units import changed_units, unit_locations, unit_transactions
 from basketwise.sources.baskets import clean_transactions, drop_merges, history_window, since
+from basketwise.sources.scratch import written
 from basketwise.sources.store import Index, last_batch, read_index, write_index
 
 
@@ -58,7 +60,7 @@ def extend_index(index: Index, tx: DataFrame, new: DataFrame, contents: DataFram
     if contents is None:
         return out
     candidates = facet_candidates(directed_rules(pairs, counts), config)
-    again = backfill_plan(candidates, index.facet_training).persist()
+    again = written(backfill_plan(candidates, index.facet_training), "backfill")
     steady = index.facet_training.join(again.select("trigger").distinct(), "trigger", "left_anti")
     observe = lambda history, training: facet_observations(
         content_diffs(contents, training, config), training, history, config.max_transaction_size
@@ -71,6 +73,18 @@ def extend_index(index: Index, tx: DataFrame, new: DataFrame, contents: DataFram
     return replace(out, facet_training=steady.select("trigger", "companion").unionByName(again.select("trigger", "companion")), facet_stats=stats)
 
 
+def extend_units(index: Index, new: DataFrame, versions: DataFrame) -> Index:
+    """A unit index (built with a config's for_units() settings from unit_transactions) with the units changed in the
+    transactions `new` counted in, and their locations renewed. versions are those of the new transactions at least."""
+    config = replace(index.config, max_transaction_size=index.config.unit_max_transaction_size, history_window=0)
+    tx = unit_transactions(new, versions, replace(index.config, unit_history_window=0))
+    grown = extend_index(replace(index, config=config), tx, tx)
+    seen = changed_units(versions.join(new.select("seq"), "seq", "left_semi"))
+    latest = entity_locations(unit_locations(seen)).select("entity", "location")
+    kept = index.locations.join(latest.select("entity"), "entity", "left_anti").select("entity", "location")
+    return replace(grown, config=index.config, locations=kept.unionByName(latest))
+
+
 def update_index(spark: SparkSession, path: str, tx: DataFrame, config: MiningConfig, contents: DataFrame | None = None) -> tuple[Index, str]:
     """The index at path made current: ('full' | 'reused' | 'incremental').
 

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import basketwise.bindings as bindings
+import basketwise.bindings_upkeep  # noqa: F401  registers its queries too
 
 SF = "/root/testdata/sf0.001"
 
