@@ -63,7 +63,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
-    return remove_repeats(documents(spark, sf_dir))
+    return remove_repeats(documents(spark, sf_dir), report=256)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
