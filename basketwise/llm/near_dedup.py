@@ -7,10 +7,12 @@ similarity. Bands of places are hashed into buckets. Links are verified by the s
 text that repeats some also enters the buckets of its sketch with every weight 1.
 
 Equal texts are merged first. In a bucket every text is linked to the bucket's first one, which gives families:
-everything that could be similar lies in one family, at one row a text and bucket. Families are then compared exactly,
-in blocks: texts are dealt into blocks of bounded size by a hash, each pair of blocks is one task's group, and it
-returns only the links that join what was not yet joined there. Classes are the connected groups of those links, so
-no link between different texts is lost, no group gathers a whole family and no list of pairs is ever written.
+everything that could be similar lies in one family, at one row a text and bucket. Every text of a family is then compared
+with the family's first one, which settles families of copies at one row a text. What is not linked to it is apart: texts
+apart are dealt into blocks of bounded size, and so are the others of their family; each block of texts apart meets each
+other block in one task's group, which returns only the links that join what was not yet joined there. Classes are the
+connected groups of those links, so no link between different texts is lost, no group gathers a whole family and no list of
+pairs is ever written. Rows grow with a family's texts times its blocks of texts apart.
 """
 
 import numpy as np
@@ -75,7 +77,7 @@ def prob_minhash(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: in
         u = ((r >> U(11)).astype(float) + 0.5) / 9007199254740992.0
         t = time[active] - np.log(u) / weight[active]
         time[active] = t
-        place = doc[active] * places + (_mix(e + MULT * U(2 * turn + 2)) % U(places)).astype(np.int64)
+        place = doc[active] * places + (_mix(e + U(int(MULT) * (2 * turn + 2) % (1 << 64))) % U(places)).astype(np.int64)
         wins = np.flatnonzero(t < arrival[place])
         wins = wins[np.argsort(-t[wins], kind="stable")]  # the earliest is written last
         arrival[place[wins]] = t[wins]
@@ -153,6 +155,21 @@ def shingles_column(text, width: int):
     return packed(text)
 
 
+def similar_column(s, other, similarity: float):
+    """Whether two packed sets have at least that Jaccard similarity."""
+
+    @F.arrow_udf("boolean")
+    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for a, b in zip(left, right):
+            x, y = (np.frombuffer(c.as_buffer(), U) for c in (a, b))
+            common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else -1
+            out.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+        return pa.array(out, pa.bool_())
+
+    return similar(s, other)
+
+
 def spanning_links(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links (i, j) of Jaccard similarity at least that, enough to join all that such links join.
 
@@ -203,18 +220,28 @@ def near_classes(
         F.min(F.struct("k")).alias("head"), F.first("bands").alias("bands")
     )
     texts = stash(texts.withColumn("id", F.monotonically_increasing_id()), "near-texts")
-    entries = texts.select(F.explode("bands").alias("key"), "id").repartition("key")
+    entries = texts.select(F.explode("bands").alias("key"), "id")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("b")).where("size > 1")
-    star = entries.join(shared.hint("shuffle_hash"), "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    star = entries.join(shared, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     families = connected_groups(star, "near-families")
-    sizes = families.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
-    placed = families.join(sizes, "grp").join(texts.select(F.col("id").alias("node"), "h1", "h2", F.col("head.k").alias("k")), "node")
+    placed = families.join(texts.select(F.col("id").alias("node"), "h1", "h2", F.col("head.k").alias("k")), "node")
     # the text of one document for each: its first
     alike = (base["h1"] == F.col("p.h1")) & (base["h2"] == F.col("p.h2")) & base["k"].eqNullSafe(F.col("p.k"))
-    held = base.join(placed.alias("p"), alike).select("node", "grp", "blocks", F.col("t").alias("_t")).dropDuplicates(["node"])
-    held = stash(held.select("node", "grp", "blocks", shingles_column(F.col("_t"), width).alias("s")), "near-shingles")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    held = base.join(placed.alias("p"), alike).select("node", "grp", F.col("t").alias("_t")).dropDuplicates(["node"])
+    held = stash(held.select("node", "grp", shingles_column(F.col("_t"), width).alias("s")), "near-shingles")
+    first = held.where("node = grp").select("grp", F.col("s").alias("first_s"))
+    with_first = held.where("node <> grp").join(first, "grp").select("grp", "node", similar_column(F.col("s"), F.col("first_s"), similarity).alias("linked"))
+    with_first = stash(with_first, "near-first-links")
+    apart = with_first.where("not linked").groupBy("grp").agg(F.count(F.lit(1)).alias("apart"))
+    sizes = families.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).join(apart, "grp").select(
+        "grp", F.ceil(F.col("apart") / block).alias("rows"), F.ceil((F.col("size") - F.col("apart")) / block).alias("columns")
+    )
+    rest = held.join(sizes, "grp").join(with_first.select("node", "linked"), "node", "left").withColumn("linked", F.coalesce("linked", F.lit(True)))
+    # blocks of texts apart are numbered first, those of the others after them; two blocks meet if one is of texts apart
+    own = F.when(F.col("linked"), F.col("rows") + F.pmod(F.xxhash64("node"), F.col("columns"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rows")))
+    zero = F.lit(0).cast("long")
+    others = F.when(F.col("linked"), F.sequence(zero, F.col("rows") - 1)).otherwise(F.sequence(zero, F.col("rows") + F.col("columns") - 1))
+    dealt = rest.withColumn("own", own).withColumn("other", F.explode(others))
     dealt = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "s")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -224,6 +251,7 @@ def near_classes(
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     links = dealt.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long")
+    links = links.unionByName(with_first.where("linked").select(F.col("node").alias("a"), F.col("grp").alias("b")))
     groups = connected_groups(links, "near-groups")
     placed = texts.select("h1", "h2", "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
     placed = placed.select("h1", "h2", F.coalesce("grp", "id").alias("grp"))
@@ -251,14 +279,14 @@ def class_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **optio
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one row of each class left, all columns kept."""
-    first = near_classes(docs, key=key, text=text, **options).where("first").select(
-        F.col("k").alias("_k"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "n_rows"
-    )
-    first = stash(first, "near-first")
-    body = F.coalesce(F.col(text), F.lit(""))
-    hashed = docs.withColumn("_x1", F.xxhash64(body)).withColumn("_x2", F.xxhash64(F.lit(1), body))
-    at = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_x1") == F.col("_h1")) & (F.col("_x2") == F.col("_h2"))
+    """docs with one row of each class left, all columns kept, whatever their names. Null and empty texts are each a class
+    of their own by key; of rows equal in key and text one stays, any of them. Texts of any length are compared whole; an
+    empty table stays empty."""
+    first = stash(near_classes(docs, key=key, text=text, **options).where("first").select("k", "h1", "h2", "n_rows"), "near-first")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    body = F.coalesce(F.col("row").getField(text), F.lit(""))
+    hashed = rows.select("row", F.col("row").getField(key).alias("key"), F.xxhash64(body).alias("x1"), F.xxhash64(F.lit(1), body).alias("x2"))
+    at = F.col("key").eqNullSafe(F.col("k")) & (F.col("x1") == F.col("h1")) & (F.col("x2") == F.col("h2"))
     once = hashed.join(first.where("n_rows = 1"), at, "left_semi")
-    again = hashed.join(first.where("n_rows > 1"), at, "left_semi").dropDuplicates(["_x1", "_x2", key])
-    return once.unionByName(again).drop("_x1", "_x2")
+    again = hashed.join(first.where("n_rows > 1"), at, "left_semi").dropDuplicates(["x1", "x2", "key"])
+    return once.unionByName(again).select("row.*")
