@@ -32,14 +32,12 @@ class MiningConfig:
 
     def __post_init__(self) -> None:
         for name in ("default_min_confidence", "fail_confidence", "facet_floor", "facet_candidate_floor"):
-            if not 0 <= getattr(self, name) <= 1:
-                raise ValueError(f"{name} must lie between 0 and 1")
-        for name in ("min_support", "max_examples_per_pair", "min_facet_support", "max_facets_per_entity", "facet_max_depth", "unit_min_support"):
+            if not 0 < getattr(self, name) <= 1:
+                raise ValueError(f"{name} must lie above 0, and at 1 at most")
+        for name in ("min_support", "max_examples_per_pair", "min_facet_support", "max_facets_per_entity", "facet_max_depth", "unit_min_support",
+                     "max_transaction_size", "unit_max_transaction_size"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
-        for name in ("max_transaction_size", "unit_max_transaction_size"):
-            if getattr(self, name) < 2:
-                raise ValueError(f"{name} must be at least 2")
         if self.history_window < 0 or self.unit_history_window < 0:
             raise ValueError("a history window can't be negative; 0 means all")
 

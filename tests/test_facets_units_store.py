@@ -1,5 +1,7 @@
 """JSON differences, facet histories, units, storage, incremental and streaming upkeep, replay against a plain loop."""
 
+import json
+import random
 from dataclasses import replace
 
 import pytest
@@ -18,18 +20,6 @@ from tests.test_mining import TX, history, rows, wilson
 @pytest.mark.parametrize(
     "before,after,expected",
     [
-        ('{"version": "1.0", "name": "x"}', '{"version": "1.1", "name": "x"}', ["version"]),
-        ('{"a": 1}', '{"a": 1}', []),
-        ('{"info": {"version": "1", "author": "x"}}', '{"info": {"version": "2", "author": "x"}}', ["info.version"]),
-        ('{"a": 1, "b": 2}', '{"a": 1, "c": 3}', ["b", "c"]),
-        ('{"p": [{"n": 1, "v": 1}, {"n": 2, "v": 1}]}', '{"p": [{"n": 1, "v": 2}, {"n": 2, "v": 1}]}', ["p[].v"]),
-        ('{"s": [{"name": "a"}]}', '{"s": [{"name": "a"}, {"name": "b", "url": "u"}]}', ["s[].name", "s[].url"]),
-        ('{"a": {"b": {"c": {"d": 1}}}}', '{"a": {"b": {"c": {"d": 2}}}}', ["a.b.c"]),
-        ('{"a": {"x": 1}}', '{"a": [1]}', ["a"]),
-        ("1", "2", ["$"]),
-        ("{ not json", '{"a": 1}', None),
-        ('{"a": 1}', "nor this", None),
-        (None, "{}", None),
         ('{\n // note, with "quotes"\n "a": 1, /* x */\n}', '{"a": 2}', ["a"]),
         ('{"a": []}', '{"a": [{}]}', []),
         ('{"a": 1}', '{"a": 1.0}', []),
@@ -45,44 +35,87 @@ def test_json_diff(before, after, expected):
     assert diff(before, after) == expected
 
 
+class Paths:
+    """Random documents, and the changed paths of two of them by listing every path with what stands there."""
+
+    def __init__(self, seed):
+        self.r = random.Random(seed)
+
+    def value(self, depth):
+        kind = self.r.randrange(6 if depth else 3)
+        if kind < 3:
+            return [self.r.randrange(3), self.r.choice(["u", "w"]), None][kind]
+        if kind == 3:
+            return [self.value(depth - 1) for _ in range(self.r.randrange(3))]
+        return {k: self.value(depth - 1) for k in self.r.sample(["one", "two", "red"], self.r.randrange(1, 4))}
+
+    def changed(self, x, y, path=(), depth=3):
+        """Both sides walked together: what differs in kind or value is one path, cut to its first parts."""
+        name = lambda: ".".join(path) or "$"
+        if isinstance(x, dict) and isinstance(y, dict) and len(path) < depth:
+            out = set()
+            for k in {*x, *y}:
+                out |= self.changed(x[k], y[k], (*path, k), depth) if k in x and k in y else {".".join((*path, k))}
+            return out
+        return set() if x == y and type(x) is type(y) else {name()}
+
+
+def no_arrays(x):
+    return {k: no_arrays(v) for k, v in x.items()} if isinstance(x, dict) else "list" if isinstance(x, list) else x
+
+
+def test_random_documents_against_listed_paths():
+    paths = Paths(31)
+    for _ in range(400):
+        x, y = ({f"k{i}": no_arrays(paths.value(2)) for i in range(3)} for _ in range(2))
+        if paths.r.random() < 0.5:
+            y = {**x, "k1": y["k1"]}
+        assert diff(json.dumps(x), json.dumps(y)) == sorted(paths.changed(x, y)), (x, y)
+
+
+def test_random_arrays_of_rows():
+    r = random.Random(32)
+    for _ in range(200):
+        rows_ = [{"id": i, "left": r.randrange(2), "right": r.randrange(2)} for i in range(r.randrange(1, 4))]
+        other = [{**x, "left": r.randrange(2)} for x in rows_]
+        want = ["list[].left"] if any(x["left"] != y["left"] for x, y in zip(rows_, other)) else []
+        assert diff(json.dumps({"list": rows_}), json.dumps({"list": other})) == want
+    assert diff('{"list": [{"id": 4}]}', '{"list": [{"id": 4}, {"tail": 5}]}') == ["list[].tail"]
+    assert diff("7", '"7"') == ["$"] and diff("{", "{}") is None and diff("{}", None) is None
+
+
 def test_too_many_facets():
     doc = lambda v: "{" + ",".join(f'"k{i}": {v}' for i in range(70)) + "}"
     assert diff(doc(1), doc(2)) is None and len(diff(doc(1), doc(2), max_facets=70)) == 70
 
 
 def facet_history(spark):
-    """12 version bumps with b, 1 description edit with b, 4 without, 6 more bumps."""
-    kinds = ["bump"] * 12 + ["text+b"] + ["text"] * 4 + ["bump"] * 6
-    sets, contents, version, text, last = [], [], 0, 0, None
+    """14 changes of the stage with plan.md, 6 of the owner, of which the third comes with plan.md, and 10 more of the stage."""
+    kinds = ["stage"] * 14 + ["owner"] * 6 + ["stage"] * 10
+    sets, contents, doc, last = [], [], {"stage": 0, "owner": 0}, None
     for i, kind in enumerate(kinds):
-        version, text = version + (kind == "bump"), text + (kind != "bump")
-        doc = f'{{"version": {version}, "description": {text}}}'
-        contents.append((i, "a.json", last, doc))
-        last = doc
-        sets.append(["a.json"] if kind == "text" else ["a.json", "b.txt"])
+        doc = {**doc, kind: doc[kind] + 1}
+        contents.append((i, "build.json", last, json.dumps(doc)))
+        last = json.dumps(doc)
+        sets.append(["build.json"] + ["plan.md"] * (kind == "stage" or i == 16))
     return history(spark, sets), spark.createDataFrame(contents, "seq long, entity string, before string, after string")
 
 
 def test_facets_end_to_end(spark):
     tx, contents = facet_history(spark)
     index = build_index(tx, MiningConfig(), contents)
-    got = {r["facet"]: (r["n"], r["co"]) for r in index.facet_stats.where("trigger = 'a.json'").collect()}
-    assert got == {"version": (17, 17), "description": (5, 1)}
-    sets = spark.createDataFrame([("text", "a.json"), ("bump", "a.json"), ("key", "a.json"), ("same", "a.json")], "change_set_id string, entity string")
-    base = '{"version": 1, "description": 1}'
-    edits = spark.createDataFrame(
-        [("text", "a.json", base, '{"version": 1, "description": 2}'), ("bump", "a.json", base, '{"version": 2, "description": 1}'),
-         ("key", "a.json", base, '{"version": 1, "description": 1, "new": 1}'), ("same", "a.json", base, base)],
-        "change_set_id string, entity string, before string, after string",
-    )
+    got = {r["facet"]: (r["n"], r["co"]) for r in index.facet_stats.where("trigger = 'build.json'").collect()}
+    assert got == {"stage": (23, 23), "owner": (6, 1)}  # the first version has none before it
+    old = '{"stage": 5, "owner": 5}'
+    new = {"owner": '{"stage": 5, "owner": 6}', "stage": '{"stage": 6, "owner": 5}', "both": '{"stage": 6, "owner": 6}', "unseen": '{"stage": 5, "owner": 5, "x": 0}', "same": old}
+    sets = spark.createDataFrame([(k, "build.json") for k in new], "change_set_id string, entity string")
+    edits = spark.createDataFrame([(k, "build.json", old, v) for k, v in new.items()], "change_set_id string, entity string, before string, after string")
     holes, verdict = check_holes(index, sets, contents=edits)
-    assert rows(holes, "change_set_id", "confidence", "suppressed") == [
-        ("bump", 0.6286, False), ("key", 0.6286, False), ("same", 0.6286, False), ("text", 0.6286, True),
-    ]
-    assert {r["change_set_id"] for r in verdict.where("holes > suppressed").collect()} == {"bump", "key", "same"}
-    told = explain_rule(index, tx, spark.createDataFrame([("a.json", "b.txt")], "a string, b string"))
-    assert rows(told["facets"], "facet", "class") == [("description", "non_predictive"), ("version", "predictive")]
-    assert told["pairs"].first()["examples"][0]["label"] == "change 23" and told["changed_alone"].count() == 4
+    assert rows(holes, "change_set_id", "confidence", "suppressed") == sorted((k, round(wilson(25, 30), 4), k == "owner") for k in new)
+    assert {r["change_set_id"] for r in verdict.where("holes > suppressed").collect()} == set(new) - {"owner"}
+    told = explain_rule(index, tx, spark.createDataFrame([("build.json", "plan.md")], "a string, b string"))
+    assert rows(told["facets"], "facet", "class") == [("owner", "non_predictive"), ("stage", "predictive")]
+    assert told["pairs"].first()["examples"][0]["label"] == "change 30" and told["changed_alone"].count() == 5
 
 
 def test_untrained_differs_from_unobserved(spark):
@@ -98,7 +131,7 @@ def test_incremental_equals_full(spark, tmp_path):
     assert update_index(spark, path, early, config, contents)[1] == "full"
     assert update_index(spark, path, early, config, contents)[1] == "reused"
     index, how = update_index(spark, path, tx, config, contents)
-    assert how == "incremental" and index.transactions == 23
+    assert how == "incremental" and index.transactions == 30
     full = build_index(tx, config, contents)
     for name, cols in (("counts", ("entity", "n")), ("pairs", ("entity_a", "entity_b", "co", "examples")), ("labels", ("tx_id", "label")),
                        ("facet_stats", ("facet", "companion", "n", "co")), ("facet_training", ("trigger", "companion"))):

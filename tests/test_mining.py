@@ -31,7 +31,7 @@ def wilson(co, n, z=1.96):
     return (p + z * z / (2 * n) - z * math.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
 
 
-@pytest.mark.parametrize("co,n", [(15, 17), (21, 22), (3, 4), (90, 100), (0, 50)])
+@pytest.mark.parametrize("co,n", [(14, 19), (33, 35), (3, 4), (90, 100), (0, 50)])
 def test_wilson(spark, co, n):
     got = spark.range(1).select(scoring.wilson_lower(F.lit(co), F.lit(n))).first()[0]
     assert got == pytest.approx(wilson(co, n), abs=1e-12)
@@ -172,6 +172,24 @@ def test_commit_log(spark, tmp_path):
     ]
 
 
+def test_commit_log_of_several_files(spark, tmp_path):
+    """Files of 10, 400 and 60 records, cut into many splits, which Spark deals out by size."""
+    ids = [f"{i:040d}" for i in range(470)]
+    at = 0
+    for name, n in (("a", 10), ("b", 400), ("c", 60)):
+        (tmp_path / name).write_text("".join(f"\x01{x}\x1fnote {x[-3:]}\n\nfile{x[-1]}.txt\n" for x in ids[at : at + n]))
+        at += n
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        got = baskets.read_commit_log(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r["label"] for r in sorted(got, key=lambda r: r["seq"])] == [f"note {x[-3:]}" for x in ids[::-1]]
+    assert sorted(r["seq"] for r in got) == list(range(470))
+
+
 def test_history_filters(spark):
     tx = history(spark, ["a", "", "b", "ab"])
     assert rows(baskets.history_window(tx, 2), "tx_id") == [("t3",), ("t4",)]
