@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="basketwise-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from basketwise.sources.scratch import new_path, shared_dir  # noqa: F401
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -76,7 +62,8 @@ def connected_groups(edges: DataFrame, name: str) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        current = stash(small, name)
+        before_it, current = current, stash(small, name)
+        discard(before_it, large)
         state = current.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
         if state == before:
             break
