@@ -87,5 +87,45 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_context_tree, op3_line_dedup, op4_secret_scans, op5_near_dedup, op6_bpe_codec, op7_decontamination, op8_repeated_strings, op9_quality_rules, op10_token_shards)}
-ORACLES: dict[str, str] = {}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+AUDIT_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+f AS (
+  SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e
+  FROM w
+),
+l AS (SELECT doc_id, max(quality) AS g, max(toxic) AS x FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n,
+    count(*) FILTER (WHERE g = 1) AS good, count(*) FILTER (WHERE x = 1) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL
+),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT p.name || q.name || r.name || s.name || u.name AS filter_order, [p.bit, q.bit, r.bit, s.bit, u.bit] AS bits
+  FROM letter p JOIN letter q ON q.bit <> p.bit JOIN letter r ON r.bit NOT IN (p.bit, q.bit)
+  JOIN letter s ON s.bit NOT IN (p.bit, q.bit, r.bit) JOIN letter u ON u.bit NOT IN (p.bit, q.bit, r.bit, s.bit)
+),
+steps AS (SELECT filter_order, i::INT AS step, bits[i] AS bit, coalesce(list_sum(bits[1:i-1]), 0)::INT AS before FROM orders, range(1, 6) AS g(i)),
+cells AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (WHERE mask & (before | bit) = 0) AS kept, sum(n) FILTER (WHERE mask & before = 0 AND mask & bit <> 0) AS removed,
+    sum(n) FILTER (WHERE mask & before <> 0 AND mask & bit <> 0) AS redundant, sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+    sum(good) FILTER (WHERE mask & before = 0 AND mask & bit <> 0) AS good_lost, sum(toxic) FILTER (WHERE mask & before = 0 AND mask & bit <> 0) AS toxic_lost
+  FROM m, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM cells"""
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_context_tree, op3_line_dedup, op4_secret_scans, op5_near_dedup, op6_bpe_codec, op7_decontamination, op8_repeated_strings, op9_quality_rules, op10_token_shards, op11_filter_audit)}
+ORACLES: dict[str, str] = {"op11_filter_audit": AUDIT_SQL}
