@@ -127,5 +127,20 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
   coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
 FROM cells"""
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_context_tree, op3_line_dedup, op4_secret_scans, op5_near_dedup, op6_bpe_codec, op7_decontamination, op8_repeated_strings, op9_quality_rules, op10_token_shards, op11_filter_audit)}
+def op12_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import classify
+
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import group_variants
+
+    return group_variants(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_context_tree, op3_line_dedup, op4_secret_scans, op5_near_dedup, op6_bpe_codec, op7_decontamination, op8_repeated_strings, op9_quality_rules, op10_token_shards, op11_filter_audit, op12_quality_model, op13_spelling_variants)}
 ORACLES: dict[str, str] = {"op11_filter_audit": AUDIT_SQL}
