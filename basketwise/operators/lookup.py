@@ -36,9 +36,9 @@ def find_holes(
     return best.withColumnRenamed("companion", "hole")
 
 
-def ordered_holes(holes: DataFrame) -> DataFrame:
+def ordered_holes(holes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """With the rank of each hole in its change set: confidence descending, hole ascending."""
-    return holes.withColumn("rank", F.row_number().over(Window.partitionBy("change_set_id").orderBy(F.desc("confidence"), "hole")))
+    return holes.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "change_set_id").orderBy(F.desc("confidence"), "hole")))
 
 
 def top_companions(rules: DataFrame, k: int | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -53,10 +53,11 @@ def companions_of(rules: DataFrame, entity: str, k: int) -> DataFrame:
     return rules.where(F.col("trigger") == entity).orderBy(F.desc("confidence"), F.desc("co"), "companion").limit(k)
 
 
-def resolve_examples(df: DataFrame, labels: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
+def resolve_examples(df: DataFrame, labels: DataFrame, k: int, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """examples as array<struct<tx_id, label>>: the first k ids with their labels, null where one has none."""
+    keys = [*by, *keys]
     cut = df.select(*keys, F.posexplode_outer(F.slice("examples", 1, k)).alias("_i", "tx_id"))
-    named = cut.join(labels.select("tx_id", "label"), "tx_id", "left")
+    named = cut.join(labels.select(*by, "tx_id", "label"), [*by, "tx_id"], "left")
     lists = named.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "tx_id", "label")))).alias("_l")
     )
@@ -64,12 +65,14 @@ def resolve_examples(df: DataFrame, labels: DataFrame, k: int, keys: Sequence[st
     return df.drop("examples").join(lists.select(*keys, shown.alias("examples")), list(keys))
 
 
-def explain_pairs(counts: DataFrame, pairs: DataFrame, asked: DataFrame, floor: float = 0.6, min_support: int = 10) -> DataFrame:
+def explain_pairs(
+    counts: DataFrame, pairs: DataFrame, asked: DataFrame, floor: float = 0.6, min_support: int = 10, by: Sequence[str] = ()
+) -> DataFrame:
     """For asked (a, b): n_a, n_b, co, both confidences (rounded) and whether each direction is a rule; zeros if unseen."""
-    n = lambda side: counts.select(F.col("entity").alias(side), F.col("n").alias(f"n_{side}"))
-    seen = pairs.select(F.col("entity_a").alias("_x"), F.col("entity_b").alias("_y"), "co", *[c for c in ("examples",) if c in pairs.columns])
-    joined = asked.join(n("a"), "a", "left").join(n("b"), "b", "left").withColumn("_x", F.least("a", "b")).withColumn("_y", F.greatest("a", "b"))
-    out = joined.join(seen, ["_x", "_y"], "left").drop("_x", "_y").fillna(0, ["n_a", "n_b", "co"])
+    n = lambda side: counts.select(*by, F.col("entity").alias(side), F.col("n").alias(f"n_{side}"))
+    seen = pairs.select(*by, F.col("entity_a").alias("_x"), F.col("entity_b").alias("_y"), "co", *[c for c in ("examples",) if c in pairs.columns])
+    joined = asked.join(n("a"), [*by, "a"], "left").join(n("b"), [*by, "b"], "left").withColumn("_x", F.least("a", "b")).withColumn("_y", F.greatest("a", "b"))
+    out = joined.join(seen, [*by, "_x", "_y"], "left").drop("_x", "_y").fillna(0, ["n_a", "n_b", "co"])
     ab, ba = wilson_lower("co", "n_a"), wilson_lower("co", "n_b")
     return out.select(
         "*", F.bround(ab, 4).alias("confidence_ab"), F.bround(ba, 4).alias("confidence_ba"),
@@ -77,40 +80,40 @@ def explain_pairs(counts: DataFrame, pairs: DataFrame, asked: DataFrame, floor:
     )
 
 
-def changed_alone(tx: DataFrame, asked: DataFrame, scan: int = 200, k: int = 10) -> DataFrame:
+def changed_alone(tx: DataFrame, asked: DataFrame, scan: int = 200, k: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """For asked (a, b): of the scan newest transactions with a (whatever their size), the newest k without b."""
-    newest = touching(tx, asked.select(F.col("a").alias("entity")), scan).withColumnRenamed("entity", "a")
-    alone = asked.select("a", "b").distinct().join(newest, "a").where(~F.array_contains("entities", F.col("b")))
-    w = Window.partitionBy("a", "b").orderBy(F.desc("seq"))
-    return alone.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("a", "b", "rank", "seq", "tx_id", "label")
+    newest = touching(tx, asked.select(*by, F.col("a").alias("entity")), scan, by).withColumnRenamed("entity", "a")
+    alone = asked.select(*by, "a", "b").distinct().join(newest, [*by, "a"]).where(~F.array_contains("entities", F.col("b")))
+    w = Window.partitionBy(*by, "a", "b").orderBy(F.desc("seq"))
+    return alone.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "a", "b", "rank", "seq", "tx_id", "label")
 
 
-def checked_entities(change_sets: DataFrame, counts: DataFrame, min_support: int = 10) -> DataFrame:
+def checked_entities(change_sets: DataFrame, counts: DataFrame, min_support: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Changes so far of each input and whether it can trigger rules."""
-    seen = change_sets.select("change_set_id", "entity").distinct().join(counts, "entity", "left").fillna(0, ["n"])
-    return seen.select("change_set_id", "entity", "n", (F.col("n") >= min_support).alias("can_trigger"))
+    seen = change_sets.select(*by, "change_set_id", "entity").distinct().join(counts, [*by, "entity"], "left").fillna(0, ["n"])
+    return seen.select(*by, "change_set_id", "entity", "n", (F.col("n") >= min_support).alias("can_trigger"))
 
 
-def coverage(change_sets: DataFrame, counts: DataFrame, min_support: int = 10) -> DataFrame:
+def coverage(change_sets: DataFrame, counts: DataFrame, min_support: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Inputs of each change set, and how many of them are unknown (never seen) or thin (below the support)."""
-    return checked_entities(change_sets, counts, min_support).groupBy("change_set_id").agg(
+    return checked_entities(change_sets, counts, min_support, by).groupBy(*by, "change_set_id").agg(
         F.count(F.lit(1)).alias("inputs"), F.count_if(F.col("n") == 0).alias("unknown"),
         F.count_if((F.col("n") > 0) & (F.col("n") < min_support)).alias("thin"),
     )
 
 
-def with_location(df: DataFrame, locations: DataFrame, column: str = "hole") -> DataFrame:
-    return df.join(locations.select(F.col("entity").alias(column), "location"), column, "left")
+def with_location(df: DataFrame, locations: DataFrame, column: str = "hole", by: Sequence[str] = ()) -> DataFrame:
+    return df.join(locations.select(*by, F.col("entity").alias(column), "location"), [*by, column], "left")
 
 
-def gate(holes: DataFrame, change_sets: DataFrame, fail_at: float = 0.7, strict: bool = False) -> DataFrame:
+def gate(holes: DataFrame, change_sets: DataFrame, fail_at: float = 0.7, strict: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """Per change set: holes, suppressed and whether it fails: an active hole's rounded confidence reaches fail_at.
     strict counts suppressed holes as active. holes may lack the column suppressed."""
     own = holes if "suppressed" in holes.columns else holes.withColumn("suppressed", F.lit(False))
     active = F.lit(True) if strict else ~F.col("suppressed")
-    sums = own.groupBy("change_set_id").agg(
+    sums = own.groupBy(*by, "change_set_id").agg(
         F.count(F.lit(1)).alias("holes"), F.count_if("suppressed").alias("suppressed"),
         F.bool_or(active & (F.col("confidence") >= fail_at)).alias("failing"),
     )
-    every = change_sets.select("change_set_id").distinct().join(sums, "change_set_id", "left")
+    every = change_sets.select(*by, "change_set_id").distinct().join(sums, [*by, "change_set_id"], "left")
     return every.fillna(0, ["holes", "suppressed"]).withColumn("failing", F.coalesce("failing", F.lit(False)))

@@ -101,6 +101,6 @@ def entity_locations(observed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return observed.groupBy(*by, "entity").agg(F.max_by("location", F.struct("seq", "ord")).alias("location"))
 
 
-def prune_labels(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+def prune_labels(labels: DataFrame, pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Labels of transactions still cited as examples."""
-    return labels.join(pairs.select(F.explode("examples").alias("tx_id")).distinct(), "tx_id", "left_semi")
+    return labels.join(pairs.select(*by, F.explode("examples").alias("tx_id")).distinct(), [*by, "tx_id"], "left_semi")

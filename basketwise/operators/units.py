@@ -4,6 +4,8 @@ absent side differs from an empty one."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,52 +14,52 @@ from basketwise.functions.scoring import is_eligible_source
 from basketwise.sources.baskets import clean_transactions, history_window
 
 
-def collapse_units(units: DataFrame) -> DataFrame:
+def collapse_units(units: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Units with the same id in one version (overloads, parts) as one text, whatever their order."""
-    return units.groupBy("seq", "entity", "side", "unit_id").agg(
+    return units.groupBy(*by, "seq", "entity", "side", "unit_id").agg(
         F.array_join(F.array_sort(F.collect_list("text")), "\0").alias("text")
     )
 
 
-def changed_units(units: DataFrame) -> DataFrame:
+def changed_units(units: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """seq, entity, units: ids whose text differs between the sides, or that one side lacks. An absent side makes all
     units of the other change; an edit without a changed unit has an empty array."""
-    own = collapse_units(units)
-    side = lambda s: own.where(F.col("side") == s).select("seq", "entity", "unit_id", F.col("text").alias(s), F.lit(True).alias(f"_{s}"))
-    on = ["seq", "entity", "unit_id"]
+    own = collapse_units(units, by)
+    side = lambda s: own.where(F.col("side") == s).select(*by, "seq", "entity", "unit_id", F.col("text").alias(s), F.lit(True).alias(f"_{s}"))
+    on = [*by, "seq", "entity", "unit_id"]
     named = side("before").where("unit_id is not null").join(side("after").where("unit_id is not null"), on, "full_outer")
     differs = F.col("_before").isNull() | F.col("_after").isNull() | ~F.col("before").eqNullSafe(F.col("after"))
-    per = named.groupBy("seq", "entity").agg(F.array_sort(F.collect_set(F.when(differs, F.col("unit_id")))).alias("units"))
-    every = units.select("seq", "entity").distinct()
-    return every.join(per, ["seq", "entity"], "left").withColumn("units", F.coalesce("units", F.array().cast("array<string>")))
+    per = named.groupBy(*by, "seq", "entity").agg(F.array_sort(F.collect_set(F.when(differs, F.col("unit_id")))).alias("units"))
+    every = units.select(*by, "seq", "entity").distinct()
+    return every.join(per, [*by, "seq", "entity"], "left").withColumn("units", F.coalesce("units", F.array().cast("array<string>")))
 
 
-def unit_transactions(tx: DataFrame, units: DataFrame, config: MiningConfig, only_sources: bool = True) -> DataFrame:
+def unit_transactions(tx: DataFrame, units: DataFrame, config: MiningConfig, only_sources: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Transactions whose entities are the units changed in them: newest transactions of the window, those of 1 to cap
     entities by the raw list, eligible entities, their changed units together, 1 to the unit cap of them."""
     own = config.for_units()
-    window = history_window(tx, own.history_window).where(F.size("entities").between(1, config.max_transaction_size))
-    files = window.select("seq", F.explode(F.array_distinct("entities")).alias("entity"))
+    window = history_window(tx, own.history_window, by).where(F.size("entities").between(1, config.max_transaction_size))
+    files = window.select(*by, "seq", F.explode(F.array_distinct("entities")).alias("entity"))
     if only_sources:
         files = files.where(is_eligible_source("entity"))
-    changed = changed_units(units.join(files, ["seq", "entity"], "left_semi"))
-    merged = changed.select("seq", F.explode("units").alias("unit")).groupBy("seq").agg(F.collect_set("unit").alias("entities"))
-    labels = tx.select("seq", "tx_id", "label")
-    return clean_transactions(labels.join(merged, "seq"), own.max_transaction_size).drop("n_raw")
+    changed = changed_units(units.join(files, [*by, "seq", "entity"], "left_semi"), by)
+    merged = changed.select(*by, "seq", F.explode("units").alias("unit")).groupBy(*by, "seq").agg(F.collect_set("unit").alias("entities"))
+    labels = tx.select(*by, "seq", "tx_id", "label")
+    return clean_transactions(labels.join(merged, [*by, "seq"]), own.max_transaction_size).drop("n_raw")
 
 
-def unit_locations(changed: DataFrame) -> DataFrame:
+def unit_locations(changed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Observations (entity = unit, location = its entity, seq, ord) for entity_locations."""
-    return changed.select(F.explode("units").alias("unit"), F.col("entity").alias("location"), "seq").select(
-        F.col("unit").alias("entity"), "location", "seq", F.col("location").alias("ord")
+    return changed.select(*by, F.explode("units").alias("unit"), F.col("entity").alias("location"), "seq").select(
+        *by, F.col("unit").alias("entity"), "location", "seq", F.col("location").alias("ord")
     )
 
 
-def route_lookup(asked: DataFrame, unit_counts: DataFrame, entity_counts: DataFrame) -> DataFrame:
+def route_lookup(asked: DataFrame, unit_counts: DataFrame, entity_counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """asked(entity) with level 'unit' where the unit index knows it, else 'entity', and its count there."""
-    u = unit_counts.select("entity", F.col("n").alias("_u"))
-    e = entity_counts.select("entity", F.col("n").alias("_e"))
-    return asked.join(u, "entity", "left").join(e, "entity", "left").select(
+    u = unit_counts.select(*by, "entity", F.col("n").alias("_u"))
+    e = entity_counts.select(*by, "entity", F.col("n").alias("_e"))
+    return asked.join(u, [*by, "entity"], "left").join(e, [*by, "entity"], "left").select(
         *asked.columns, F.when(F.col("_u").isNotNull(), "unit").otherwise("entity").alias("level"),
         F.coalesce("_u", "_e", F.lit(0)).alias("n"),
     )

@@ -65,8 +65,9 @@ def assemble_transactions(
     )
     made = made.select(*by, "_order", tx_id.alias("tx_id"), "label", "entities")
     if by:
-        seq = F.row_number().over(Window.partitionBy(*by).orderBy("_order", "tx_id")).cast("long") - 1
-        return made.select(*by, seq.alias("seq"), "tx_id", "label", "entities")
+        placed = numbered(made, *by, "_order", "tx_id", name="_at")  # a group's rows follow each other, so its first place is enough
+        first = placed.groupBy(*by).agg(F.min("_at").alias("_first"))
+        return placed.join(first, list(by)).select(*by, (F.col("_at") - F.col("_first")).alias("seq"), "tx_id", "label", "entities")
     flat = made.select(F.col("_order.*"), "tx_id", "label", "entities")
     return numbered(flat, *order_cols, "tx_id").select("seq", "tx_id", "label", "entities")
 
@@ -112,13 +113,13 @@ def touching(tx: DataFrame, entities: DataFrame, limit: int = 200, by: Sequence[
     return ranked.select(*by, "entity", "rank", "seq").join(tx, [*by, "seq"])
 
 
-def changed_since(base: DataFrame, current: DataFrame) -> DataFrame:
+def changed_since(base: DataFrame, current: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Entities whose hash differs between two snapshots (entity, hash), or that only one of them has."""
-    b, c = base.select("entity", F.col("hash").alias("_b"), F.lit(True).alias("_in_b")), current.select(
-        "entity", F.col("hash").alias("_c"), F.lit(True).alias("_in_c")
+    b, c = base.select(*by, "entity", F.col("hash").alias("_b"), F.lit(True).alias("_in_b")), current.select(
+        *by, "entity", F.col("hash").alias("_c"), F.lit(True).alias("_in_c")
     )
-    both = b.join(c, "entity", "full_outer")
-    return both.where(F.col("_in_b").isNull() | F.col("_in_c").isNull() | ~F.col("_b").eqNullSafe(F.col("_c"))).select("entity").distinct()
+    both = b.join(c, [*by, "entity"], "full_outer")
+    return both.where(F.col("_in_b").isNull() | F.col("_in_c").isNull() | ~F.col("_b").eqNullSafe(F.col("_c"))).select(*by, "entity").distinct()
 
 
 def holdout_split(tx: DataFrame, holdout: int) -> tuple[DataFrame, DataFrame, int]:

@@ -29,3 +29,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def listed(spark: SparkSession, path: str) -> list[tuple[str, float]]:
+    """(name, seconds since 1970 of its last change) of what lies in a folder; nothing where there is none."""
+    where, files = _files(spark, path)
+    return [(x.getPath().getName(), x.getModificationTime() / 1000) for x in files.listStatus(where)] if files.exists(where) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where, files = _files(spark, path)
+    files.delete(where, True)

@@ -1,8 +1,15 @@
-"""Keeping an index up to date: merging what is new, in batch or from a stream."""
+"""Keeping an index up to date: what is new is counted on its own and added as a level, in batch or from a stream.
+
+With `by` columns one index keeps many histories. An update decides for each of them by joins whether it is built again, added to
+or left alone, and writes one level for all.
+"""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,25 +20,46 @@ from basketwise.operators.mining import directed_rules, entity_counts, entity_lo
 from basketwise.operators.units import changed_units, unit_locations, unit_transactions
 from basketwise.sources.baskets import clean_transactions, drop_merges, history_window, since
 from basketwise.sources.scratch import written
-from basketwise.sources.store import Index, last_batch, read_index, write_index
+from basketwise.sources.store import SECTIONS, Index, append_level, current_commit, last_batch, merge_levels, read_index, vacuum, write_index
+
+LOWEST = -(1 << 63)
+
+
+def _stretch(after, upto):
+    return F.struct(after.cast("long").alias("after"), upto.cast("long").alias("upto"))
+
+
+def _heads(all_tx: DataFrame, own: DataFrame, by: Sequence[str], counted: bool) -> DataFrame:
+    """by.., head, seq, transactions, counted: the newest transaction of each history, how many are counted, and, for batch updates, that all
+    are up to there."""
+    last = all_tx.groupBy(*by).agg(F.max_by("tx_id", "seq").alias("head"), F.max("seq").cast("long").alias("seq"))
+    n = own.groupBy(*by).agg(F.count(F.lit(1)).alias("transactions"))
+    both = last.join(n, list(by), "left") if by else last.crossJoin(F.broadcast(n))  # one row
+    stretches = F.array(_stretch(F.lit(LOWEST), F.col("seq"))) if counted else F.array().cast("array<struct<after:bigint,upto:bigint>>")
+    return both.select(*by, "head", "seq", F.coalesce("transactions", F.lit(0)).cast("long").alias("transactions"), stretches.alias("counted"))
+
 
+def _single(index: Index) -> Index:
+    """With head and transactions as values where there is one history."""
+    row = None if index.by else index.heads.first()
+    return index if row is None else replace(index, head=row["head"], transactions=row["transactions"])
 
-def build_index(tx: DataFrame, config: MiningConfig, contents: DataFrame | None = None) -> Index:
-    """Everything counted from the whole history (or its window)."""
-    spark = tx.sparkSession
-    all_tx = history_window(drop_merges(tx), config.history_window)
+
+def build_index(tx: DataFrame, config: MiningConfig, contents: DataFrame | None = None, by: Sequence[str] = (), counted: bool = True) -> Index:
+    """Everything counted from the whole history (or its window) of each group. counted: streams must not count these transactions
+    again."""
+    by = list(by)
+    all_tx = history_window(drop_merges(tx), config.history_window, by)
     own = clean_transactions(all_tx, config.max_transaction_size)
-    counts, pairs = entity_counts(own), pairs_with_examples(own, config.max_examples_per_pair)
-    head = all_tx.agg(F.max_by("tx_id", "seq"), F.max("seq")).first()
+    counts, pairs = entity_counts(own, by), pairs_with_examples(own, config.max_examples_per_pair, by)
     rest = {}
     if contents is not None:
-        training = facet_candidates(directed_rules(pairs, counts), config)
-        diffs = content_diffs(contents, training, config)
-        rest = {"facet_training": training, "facet_stats": facet_stats(facet_observations(diffs, training, all_tx, config.max_transaction_size))}
-    return Index.of(
-        spark, counts, pairs, prune_labels(own.select("tx_id", "label"), pairs), head=head[0], transactions=own.count(),
-        config=config, **rest,
-    )
+        training = facet_candidates(directed_rules(pairs, counts, by), config, by)
+        diffs = content_diffs(contents, training, config, by)
+        rest = {"facet_training": training, "facet_stats": facet_stats(facet_observations(diffs, training, all_tx, config.max_transaction_size, by), by)}
+    labels = prune_labels(own.select(*by, "tx_id", "label"), pairs, by)
+    heads = _heads(all_tx, own, by, counted)
+    return _single(Index.of(tx.sparkSession, counts, pairs, labels, by, heads=heads, config=config, **rest))
 
 
 def merge_counts(stored: DataFrame, delta: DataFrame) -> DataFrame:
@@ -46,71 +74,178 @@ def merge_pairs(stored: DataFrame, delta: DataFrame, k: int) -> DataFrame:
     return merged.withColumn("examples", F.transform("recent", lambda x: x["tx_id"]))
 
 
-def extend_index(index: Index, tx: DataFrame, new: DataFrame, contents: DataFrame | None = None) -> Index:
-    """index with the transactions `new` counted in; tx is the full history, read only to train pairs that newly qualify.
-
-    The window bounds full builds only: nothing is taken out. A pair once trained stays trained."""
-    config = index.config
-    delta = clean_transactions(drop_merges(new), config.max_transaction_size)
-    counts = merge_counts(index.counts, entity_counts(delta))
-    pairs = merge_pairs(index.pairs, pairs_with_examples(delta, config.max_examples_per_pair), config.max_examples_per_pair)
-    labels = prune_labels(index.labels.unionByName(delta.select("tx_id", "label")).dropDuplicates(["tx_id"]), pairs)
-    head = new.agg(F.max_by("tx_id", "seq")).first()[0]
-    out = replace(index, counts=counts, pairs=pairs, labels=labels, head=head or index.head, transactions=index.transactions + delta.count())
+def delta_index(index: Index, tx: DataFrame, new: DataFrame, contents: DataFrame | None = None, counted: bool = True) -> Index:
+    """What the transactions `new` add to index, as a level: tx is the full history (of the groups of new), read only to train pairs
+    that newly qualify. The window bounds full builds only: nothing is taken out. A pair once trained stays trained."""
+    config, by = index.config, list(index.by)
+    own = clean_transactions(drop_merges(new), config.max_transaction_size)
+    counts, pairs = entity_counts(own, by), pairs_with_examples(own, config.max_examples_per_pair, by)
+    labels = prune_labels(own.select(*by, "tx_id", "label"), pairs, by)
+    added = _heads(new, own, by, False)
+    old = index.heads.select(*by, *[F.col(c).alias(f"_{c}") for c in ("head", "seq", "transactions", "counted")])
+    both = added.join(old, by, "left") if by else added.crossJoin(F.broadcast(old))  # one row
+    before = F.coalesce("_counted", F.array().cast("array<struct<after:bigint,upto:bigint>>"))
+    at = F.coalesce("_seq", F.lit(LOWEST))
+    later = F.col("seq") >= at
+    tail = F.try_element_at(before, F.lit(-1))
+    grown = F.when(tail["upto"] == at, F.concat(F.slice(before, 1, F.size(before) - 1), F.array(_stretch(tail["after"], F.col("seq"))))).otherwise(
+        F.concat(before, F.array(_stretch(at, F.col("seq"))))
+    )
+    heads = both.select(
+        *by, F.when(later, F.col("head")).otherwise(F.col("_head")).alias("head"), F.greatest("seq", "_seq").alias("seq"),
+        (F.col("transactions") + F.coalesce("_transactions", F.lit(0))).alias("transactions"), (grown if counted else before).alias("counted"),
+    )
+    heads = heads.where(F.col("head").isNotNull())
+    delta = Index.of(tx.sparkSession, counts, pairs, labels, by, heads=heads, config=config)
     if contents is None:
-        return out
-    candidates = facet_candidates(directed_rules(pairs, counts), config)
-    again = written(backfill_plan(candidates, index.facet_training), "backfill")
-    steady = index.facet_training.join(again.select("trigger").distinct(), "trigger", "left_anti")
+        return delta
+    total = merge_levels([index, delta])
+    candidates = facet_candidates(directed_rules(total.pairs, total.counts, by), config, by)
+    again = written(backfill_plan(candidates, index.facet_training, by), "backfill")
+    reset = again.select(*by, "trigger").distinct()
+    steady = index.facet_training.join(reset, [*by, "trigger"], "left_anti")
     observe = lambda history, training: facet_observations(
-        content_diffs(contents, training, config), training, history, config.max_transaction_size
-    )
-    kept = index.facet_stats.join(steady, ["trigger", "companion"], "left_semi")
-    grown = kept.unionByName(facet_stats(observe(drop_merges(new), steady))).groupBy("trigger", "companion", "facet").agg(
-        F.sum("n").alias("n"), F.sum("co").alias("co")
+        content_diffs(contents, training, config, by), training, history, config.max_transaction_size, by
     )
-    stats = grown.unionByName(facet_stats(observe(drop_merges(tx), again)))
-    return replace(out, facet_training=steady.select("trigger", "companion").unionByName(again.select("trigger", "companion")), facet_stats=stats)
+    stats = facet_stats(observe(drop_merges(new), steady), by).unionByName(facet_stats(observe(drop_merges(tx), again), by))
+    return replace(delta, facet_training=again.select(*by, "trigger", "companion"), facet_stats=stats, facet_resets=reset)
 
 
-def extend_units(index: Index, new: DataFrame, versions: DataFrame) -> Index:
-    """A unit index (built with a config's for_units() settings from unit_transactions) with the units changed in the
-    transactions `new` counted in, and their locations renewed. versions are those of the new transactions at least."""
+def extend_index(index: Index, tx: DataFrame, new: DataFrame, contents: DataFrame | None = None) -> Index:
+    """index with the transactions `new` counted in; see delta_index."""
+    grown = merge_levels([index, delta_index(index, tx, new, contents)])
+    return _single(replace(grown, labels=prune_labels(grown.labels, grown.pairs, index.by), facet_resets=None))
+
+
+def delta_units(index: Index, new: DataFrame, versions: DataFrame) -> Index:
+    """What the transactions `new` add to a unit index, with the locations of the units that they change."""
+    by = list(index.by)
+    tx = unit_transactions(new, versions, replace(index.config, unit_history_window=0), by=by)
     config = replace(index.config, max_transaction_size=index.config.unit_max_transaction_size, history_window=0)
-    tx = unit_transactions(new, versions, replace(index.config, unit_history_window=0))
-    grown = extend_index(replace(index, config=config), tx, tx)
-    seen = changed_units(versions.join(new.select("seq"), "seq", "left_semi"))
-    latest = entity_locations(unit_locations(seen)).select("entity", "location")
-    kept = index.locations.join(latest.select("entity"), "entity", "left_anti").select("entity", "location")
-    return replace(grown, config=index.config, locations=kept.unionByName(latest))
+    seen = changed_units(versions.join(new.select(*by, "seq"), [*by, "seq"], "left_semi"), by)
+    latest = entity_locations(unit_locations(seen, by), by).select(*by, "entity", "location")
+    return replace(delta_index(replace(index, config=config), tx, tx), config=index.config, locations=latest)
 
 
-def update_index(spark: SparkSession, path: str, tx: DataFrame, config: MiningConfig, contents: DataFrame | None = None) -> tuple[Index, str]:
+def extend_units(index: Index, new: DataFrame, versions: DataFrame) -> Index:
+    """A unit index (built with a config's for_units() settings from unit_transactions) with the units changed in the
+    transactions `new` counted in, and their locations renewed. versions are those of the new transactions at least."""
+    grown = merge_levels([index, delta_units(index, new, versions)])
+    return _single(replace(grown, labels=prune_labels(grown.labels, grown.pairs, index.by)))
+
+
+def group_states(tx: DataFrame, heads: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by.., how, after of each history in tx: 'full' where it isn't in heads or its head is not in tx any more, 'reused' where nothing
+    came after the head, else 'incremental' with what comes after that seq."""
+    by = list(by)
+    last = tx.groupBy(*by).agg(F.max("seq").alias("last"))
+    known = heads.select(*by, F.col("head").alias("tx_id"))
+    found = tx.join(known, [*by, "tx_id"]).groupBy(*by).agg(F.max("seq").alias("after"))
+    how = F.when(F.col("after").isNull(), "full").when(F.col("last") > F.col("after"), "incremental").otherwise("reused")
+    return last.join(found, by, "left").select(*by, how.alias("how"), "after")
+
+
+def _side_by_side(parts: Sequence[Index]) -> Index:
+    """One level of indexes that share no history."""
+    tables = {}
+    for name in SECTIONS:
+        own = [t for p in parts if (t := getattr(p, name)) is not None]
+        if own:
+            tables[name] = reduce(DataFrame.unionByName, own)
+    return replace(parts[0], **tables)
+
+
+def update_groups(spark: SparkSession, path: str, tx: DataFrame, config: MiningConfig, by: Sequence[str], contents: DataFrame | None = None) -> tuple[Index, DataFrame]:
+    """update_index for many histories: (index, by.. and how of each history in tx). All that changes is one level of one commit;
+    histories that tx doesn't have stay as they are."""
+    by = list(by)
+    stored = read_index(spark, path, config, by)
+    if stored is None:
+        write_index(build_index(tx, config, contents, by), path)
+        return read_index(spark, path, config, by), tx.select(*by).distinct().withColumn("how", F.lit("full"))
+    states = written(group_states(tx, stored.heads, by), "states")
+    some = {r["how"] for r in states.select("how").distinct().collect()}
+    own = lambda df, how: df.join(states.where(F.col("how") == how).select(*by), by, "left_semi")
+    parts = []
+    if "full" in some:
+        made = build_index(own(tx, "full"), config, own(contents, "full") if contents is not None else None, by)
+        parts.append(replace(made, group_resets=own(stored.heads.select(*by), "full")))
+    if "incremental" in some:
+        changing = own(tx, "incremental")
+        new = changing.join(states, by).where(F.col("seq") > F.col("after")).drop("how", "after")
+        parts.append(delta_index(stored, changing, new, own(contents, "incremental") if contents is not None else None))
+    if parts:
+        append_level(_side_by_side(parts), path)
+        stored = read_index(spark, path, config, by)
+    return stored, states.select(*by, "how")
+
+
+def update_index(
+    spark: SparkSession, path: str, tx: DataFrame, config: MiningConfig, contents: DataFrame | None = None, verify: str = "files",
+    keep: int | None = None,
+) -> tuple[Index, str]:
     """The index at path made current: ('full' | 'reused' | 'incremental').
 
-    Full where there is no usable version or its head is not in the history any more; reused where nothing came after it."""
-    stored = read_index(spark, path, config)
+    Full where there is no usable version (none, other training settings, damage) or its head is not in the history any more; reused
+    where nothing came after it. An incremental update writes what is new. keep: delete all but so many versions then."""
+    stored = read_index(spark, path, config, verify=verify)
     new = None if stored is None else since(tx, stored.head)
     if new is None:
         write_index(build_index(tx, config, contents), path)
-        return read_index(spark, path, config), "full"
-    if new.isEmpty():
+        how = "full"
+    elif new.isEmpty():
         return stored, "reused"
-    write_index(extend_index(stored, tx, new, contents), path)
-    return read_index(spark, path, config), "incremental"
-
-
-def stream_index(source: DataFrame, path: str, config: MiningConfig, checkpoint: str):
-    """A streaming query that merges each micro-batch of whole transactions into the index at path.
-
-    The batch's number is stored with the version it made, so one that is delivered again after a failure is not counted twice."""
+    else:
+        append_level(delta_index(stored, tx, new, contents), path)
+        how = "incremental"
+    if keep is not None:
+        vacuum(spark, path, keep)
+    return read_index(spark, path, config), how
+
+
+def uncounted(batch: DataFrame, index: Index) -> DataFrame:
+    """Transactions of a stream that no batch update has counted."""
+    by = list(index.by)
+    known = index.heads.select(*by, F.col("counted").alias("_counted"))
+    own = batch.join(known, by, "left") if by else batch.crossJoin(F.broadcast(known))  # one row
+    inside = F.exists(F.coalesce("_counted", F.array().cast("array<struct<after:bigint,upto:bigint>>")), lambda c: (F.col("seq") > c["after"]) & (F.col("seq") <= c["upto"]))
+    return own.where(~inside).drop("_counted")
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of a streaming query, which its checkpoint keeps: the same after a restart, another for a new checkpoint."""
+    text = spark.read.text(f"{checkpoint.rstrip('/')}/metadata", wholetext=True).first()[0]
+    return json.loads(text)["id"]
+
+
+def count_batch(batch: DataFrame, number: int, stream: str, path: str, config: MiningConfig, by: Sequence[str] = ()) -> bool:
+    """Batch `number` of a stream counted into the index at path, once: False where it was before.
+
+    The ledger of the commit says which batch of which stream came last, so data and ledger change together. Transactions that a
+    batch update has counted meanwhile are left out. An index that is damaged or has other settings is an error: a stream has no
+    history to build it from."""
+    spark = batch.sparkSession
+    if last_batch(spark, path, stream) >= number:
+        return False
+    commit, damaged = current_commit(spark, path)
+    stored = read_index(spark, path, config, by)
+    if stored is None and (commit is not None or damaged):
+        raise ValueError(f"the index at {path} is damaged or has other settings: build it with update_index first")
+    if batch.isEmpty():
+        return False
+    if stored is None:
+        write_index(replace(build_index(batch, replace(config, history_window=0), by=by, counted=False), config=config), path, number, stream)
+        return True
+    own = uncounted(batch, stored)
+    append_level(delta_index(stored, own, own, counted=False), path, {stream: number})
+    return True
+
+
+def stream_index(source: DataFrame, path: str, config: MiningConfig, checkpoint: str, by: Sequence[str] = ()):
+    """A streaming query that counts each micro-batch of whole transactions into the index at path, exactly once, however often it
+    is restarted or a batch delivered again, and next to batch updates and other streams."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if last_batch(spark, path) >= number or batch.isEmpty():
-            return
-        stored = read_index(spark, path, config)
-        index = build_index(batch, config) if stored is None else extend_index(stored, batch, batch)
-        write_index(index, path, number)
+        count_batch(batch, number, stream_id(batch.sparkSession, checkpoint), path, config, by)
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
