@@ -7,6 +7,7 @@ followed by the entity in the shuffle key, so one giant history doesn't meet in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -59,6 +60,37 @@ def rules_at(rules: DataFrame, floor: float, min_support: int = 10) -> DataFrame
     return rules.where((F.col("n") >= min_support) & (F.col("raw") >= floor))
 
 
+def hopeful_transactions(tx: DataFrame, counts: DataFrame, floor: float, min_support: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., entities, strong): of each transaction the entities that can take part in a rule at floor and min_support, and those of
+    them that can be its trigger. A trigger has min_support occurrences; as a rule's bound never exceeds co / n, its companion
+    has floor times as many at least."""
+    least = max(1, math.ceil(floor * min_support - 1e-9))
+    able = counts.where(F.col("n") >= least).select(*by, "entity", (F.col("n") >= min_support).alias("_strong"))
+    rows = tx.select(*by, "seq", F.explode("entities").alias("entity")).join(able, [*by, "entity"])
+    lists = rows.groupBy(*by, "seq").agg(
+        F.array_sort(F.collect_list("entity")).alias("entities"), F.array_sort(F.collect_list(F.when(F.col("_strong"), F.col("entity")))).alias("strong")
+    )
+    return lists.where((F.size("strong") > 0) & (F.size("entities") > 1))
+
+
+def strong_rules(tx: DataFrame, floor: float, min_support: int = 10, by: Sequence[str] = (), prune_below: float = 0.8) -> DataFrame:
+    """trigger, companion, co, n, raw, confidence of the rules at floor and min_support, for one question whose counts aren't
+    stored: the same rows as rules_at(directed_rules(..)).
+
+    Pairs are made of a strong entity and another hopeful one only, where touches of hopeless or weak entities are many
+    enough to pay for putting the transactions together again: the share of touches that strong entities have must be under prune_below."""
+    counts = entity_counts(tx, by)
+    totals = counts.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") >= min_support, F.col("n"))).alias("strong")).first()
+    if not totals["all"] or (totals["strong"] or 0) >= prune_below * totals["all"]:
+        return rules_at(directed_rules(pair_counts(tx, by), counts, by), floor, min_support)
+    hopeful = hopeful_transactions(tx, counts, floor, min_support, by)
+    first = hopeful.select(*by, "entities", F.explode("strong").alias("trigger"))
+    pairs = first.select(*by, "trigger", F.explode("entities").alias("companion")).where(F.col("trigger") != F.col("companion"))
+    co = pairs.groupBy(*by, "trigger", "companion").agg(F.count(F.lit(1)).alias("co"))
+    scored = co.join(counts.where(F.col("n") >= min_support).withColumnRenamed("entity", "trigger"), [*by, "trigger"])
+    return scored.withColumn("raw", wilson_lower("co", "n")).withColumn("confidence", F.bround("raw", 4)).where(F.col("raw") >= floor)
+
+
 def rules_at_floors(rules: DataFrame, floors: Sequence[float] = (0.5, 0.6, 0.7, 0.8), min_support: int = 10) -> DataFrame:
     """Number of rules at each floor, all in one pass."""
     enough = F.col("n") >= min_support
