@@ -227,6 +227,47 @@ def grouped_facets_segment(spark, sf_dir):
     return incremental.update_groups(spark, path, tx, WIDE, ["g"], contents)[0].facet_stats.select("g", "trigger", "companion", "facet", "n", "co")
 
 
+def _streamed(spark, rows, parts, config, by=()):
+    """The index that a stream makes of rows, which come in so many batches in the order of seq."""
+    path, source = new_path(spark, "index"), new_path(spark, "source")
+    least, most = rows.agg(F.min("seq"), F.max("seq") + 1).first()
+    for i in range(parts):
+        low, high = (least + (most - least) * k // parts for k in (i, i + 1))
+        own = rows.where((F.col("seq") >= low) & (F.col("seq") < high))
+        own.write.parquet(f"{source}/part={i}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{source}/*")
+        incremental.stream_index(stream, path, config, f"{path}-checkpoint", by).awaitTermination()
+    return store.read_index(spark, path, config, by)
+
+
+@query(f"WITH {SEGMENT} SELECT g, trigger, companion, facet, n, co FROM stats")
+def streamed_facets_segment(spark, sf_dir):
+    """A stream of orders with the documents they leave."""
+    tx, versions = segment(spark, sf_dir)
+    docs = versions.select("g", "seq", F.array(F.struct("entity", "content")).alias("versions"))
+    index = _streamed(spark, tx.join(docs, ["g", "seq"]), 3, MiningConfig(), ["g"])
+    return index.facet_stats.select("g", "trigger", "companion", "facet", "n", "co")
+
+
+UNITS = (
+    "li AS (SELECT l_orderkey AS k, n_name AS unit, count(*)::VARCHAR AS text FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL), "
+    "prev AS (SELECT o_orderkey AS k, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders), "
+    "aft AS (SELECT prev.k AS seq, unit, text FROM prev JOIN li ON li.k = prev.k), bef AS (SELECT prev.k AS seq, unit, text FROM prev JOIN li ON li.k = prev.p), "
+    "t AS (SELECT seq, coalesce(aft.unit, bef.unit) AS unit FROM aft FULL JOIN bef USING (seq, unit) WHERE aft.text IS DISTINCT FROM bef.text)"
+)
+
+
+@query(f"WITH {UNITS} SELECT a.unit AS entity_a, b.unit AS entity_b, count(*) AS co FROM t a JOIN t b ON a.seq = b.seq AND a.unit < b.unit GROUP BY ALL")
+def streamed_units_orders(spark, sf_dir):
+    """A stream of orders with the lines they leave, by nation, in a file for each customer."""
+    s = b.table(spark, sf_dir, "supplier").join(b.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("unit_id"))
+    li = b.table(spark, sf_dir, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("l_orderkey").alias("seq"), "unit_id").agg(F.count(F.lit(1)).cast("string").alias("text"))
+    o = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.col("o_custkey").cast("string"), F.lit(".cs")).alias("entity"))
+    rows = o.join(li, "seq", "left").groupBy("seq", "entity").agg(F.collect_list(F.struct("entity", "unit_id", "text")).alias("units"))
+    tx = rows.select("seq", F.col("seq").cast("string").alias("tx_id"), F.lit(None).cast("string").alias("label"), F.array("entity").alias("entities"), "units")
+    return _streamed(spark, tx, 3, MiningConfig()).pairs.select("entity_a", "entity_b", "co")
+
+
 REPLAY = ReplayConfig(lookahead=2, caps=(3, 5), baseline_cap=3, floors=(0.5, 0.6))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from basketwise.config import MiningConfig
 from basketwise.functions.json_diff import json_changed_facets
-from basketwise.functions.scoring import facet_class, is_structured, wilson_lower
+from basketwise.functions.scoring import facet_class, is_structured, round_conf, wilson_lower
 
 
 def facet_candidates(rules: DataFrame, config: MiningConfig, by: Sequence[str] = ()) -> DataFrame:
@@ -61,7 +61,7 @@ def backfill_plan(candidates: DataFrame, training: DataFrame, by: Sequence[str]
 def facet_breakdown(stats: DataFrame, config: MiningConfig, by: Sequence[str] = ()) -> DataFrame:
     """Each facet's counts, rounded confidence and class."""
     return stats.select(
-        *by, "trigger", "companion", "facet", "n", "co", F.bround(wilson_lower("co", "n"), 4).alias("confidence"),
+        *by, "trigger", "companion", "facet", "n", "co", round_conf(wilson_lower("co", "n")).alias("confidence"),
         facet_class("n", "co", config.facet_floor, config.min_facet_support).alias("class"),
     )
 

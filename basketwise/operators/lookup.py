@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketwise.functions.scoring import wilson_lower
+from basketwise.functions.scoring import round_conf, wilson_lower
 from basketwise.operators.mining import rules_at
 from basketwise.sources.baskets import touching
 
@@ -75,7 +75,7 @@ def explain_pairs(
     out = joined.join(seen, [*by, "_x", "_y"], "left").drop("_x", "_y").fillna(0, ["n_a", "n_b", "co"])
     ab, ba = wilson_lower("co", "n_a"), wilson_lower("co", "n_b")
     return out.select(
-        "*", F.bround(ab, 4).alias("confidence_ab"), F.bround(ba, 4).alias("confidence_ba"),
+        "*", round_conf(ab).alias("confidence_ab"), round_conf(ba).alias("confidence_ba"),
         ((F.col("n_a") >= min_support) & (ab >= floor)).alias("is_rule_ab"), ((F.col("n_b") >= min_support) & (ba >= floor)).alias("is_rule_ba"),
     )
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketwise.functions.scoring import wilson_lower
+from basketwise.functions.scoring import round_conf, wilson_lower
 
 
 def entity_counts(tx: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -53,7 +53,7 @@ def directed_rules(pairs: DataFrame, counts: DataFrame, by: Sequence[str] = ())
     there = pairs.select(*by, F.col("entity_a").alias("trigger"), F.col("entity_b").alias("companion"), "co", *extra)
     back = pairs.select(*by, F.col("entity_b").alias("trigger"), F.col("entity_a").alias("companion"), "co", *extra)
     scored = there.unionByName(back).join(counts.withColumnRenamed("entity", "trigger"), [*by, "trigger"])
-    return scored.withColumn("raw", wilson_lower("co", "n")).withColumn("confidence", F.bround("raw", 4))
+    return scored.withColumn("raw", wilson_lower("co", "n")).withColumn("confidence", round_conf("raw"))
 
 
 def rules_at(rules: DataFrame, floor: float, min_support: int = 10) -> DataFrame:
@@ -88,7 +88,7 @@ def strong_rules(tx: DataFrame, floor: float, min_support: int = 10, by: Sequenc
     pairs = first.select(*by, "trigger", F.explode("entities").alias("companion")).where(F.col("trigger") != F.col("companion"))
     co = pairs.groupBy(*by, "trigger", "companion").agg(F.count(F.lit(1)).alias("co"))
     scored = co.join(counts.where(F.col("n") >= min_support).withColumnRenamed("entity", "trigger"), [*by, "trigger"])
-    return scored.withColumn("raw", wilson_lower("co", "n")).withColumn("confidence", F.bround("raw", 4)).where(F.col("raw") >= floor)
+    return scored.withColumn("raw", wilson_lower("co", "n")).withColumn("confidence", round_conf("raw")).where(F.col("raw") >= floor)
 
 
 def rules_at_floors(rules: DataFrame, floors: Sequence[float] = (0.5, 0.6, 0.7, 0.8), min_support: int = 10) -> DataFrame:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketwise.functions.scoring import wilson_lower
+from basketwise.functions.scoring import round_conf, wilson_lower
 from basketwise.operators.mining import pair_events, size_histogram
 from basketwise.sources.scratch import written
 
@@ -114,7 +114,7 @@ def flagged_holes(state: DataFrame, config: ReplayConfig, by: Sequence[str] = ()
     for c in config.caps:
         raw = wilson_lower(f"co_{c}", f"n_{c}")
         ok = (F.col(f"n_{c}") >= config.min_support) & (raw >= min(config.floors))
-        best.append(F.max(F.when(ok, F.bround(raw, 4))).alias(f"conf_{c}"))
+        best.append(F.max(F.when(ok, round_conf(raw))).alias(f"conf_{c}"))
     some = F.coalesce(*[F.col(f"conf_{c}") for c in config.caps]).isNotNull()
     return state.groupBy(*by, "k", F.col("b").alias("hole")).agg(*best).where(some)
 

@@ -11,10 +11,12 @@ from collections.abc import Sequence
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketwise.config import MiningConfig
+from basketwise.functions.json_diff import json_changed_facets
+from basketwise.functions.scoring import is_structured
 from basketwise.operators.facets import backfill_plan, content_diffs, facet_candidates, facet_observations, facet_stats
 from basketwise.operators.mining import directed_rules, entity_counts, entity_locations, pairs_with_examples, prune_labels
 from basketwise.operators.units import changed_units, unit_locations, unit_transactions
@@ -83,7 +85,7 @@ def delta_index(index: Index, tx: DataFrame, new: DataFrame, contents: DataFrame
     labels = prune_labels(own.select(*by, "tx_id", "label"), pairs, by)
     added = _heads(new, own, by, False)
     old = index.heads.select(*by, *[F.col(c).alias(f"_{c}") for c in ("head", "seq", "transactions", "counted")])
-    both = added.join(old, by, "left") if by else added.crossJoin(F.broadcast(old))  # one row
+    both = added.join(old, by, "left") if by else added.join(F.broadcast(old), F.lit(True), "left")  # one row, or none before the first transaction
     before = F.coalesce("_counted", F.array().cast("array<struct<after:bigint,upto:bigint>>"))
     at = F.coalesce("_seq", F.lit(LOWEST))
     later = F.col("seq") >= at
@@ -207,7 +209,7 @@ def uncounted(batch: DataFrame, index: Index) -> DataFrame:
     """Transactions of a stream that no batch update has counted."""
     by = list(index.by)
     known = index.heads.select(*by, F.col("counted").alias("_counted"))
-    own = batch.join(known, by, "left") if by else batch.crossJoin(F.broadcast(known))  # one row
+    own = batch.join(known, by, "left") if by else batch.join(F.broadcast(known), F.lit(True), "left")  # one row, or none before the first transaction
     inside = F.exists(F.coalesce("_counted", F.array().cast("array<struct<after:bigint,upto:bigint>>")), lambda c: (F.col("seq") > c["after"]) & (F.col("seq") <= c["upto"]))
     return own.where(~inside).drop("_counted")
 
@@ -218,12 +220,73 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(text)["id"]
 
 
+def _with_known(versions: DataFrame, latest: DataFrame | None, by: Sequence[str]) -> DataFrame:
+    """before and after of versions(by.., seq, entity, content): the version before it in versions, else the last one known."""
+    order = Window.partitionBy(*by, "entity").orderBy("seq")
+    own = versions.withColumn("before", F.lag("content").over(order)).withColumn("_first", F.row_number().over(order) == 1)
+    if latest is not None:
+        last = latest.select(*by, "entity", F.col("content").alias("_known"))
+        own = own.join(last, [*by, "entity"], "left").withColumn("before", F.when(F.col("_first"), F.col("_known")).otherwise(F.col("before")))
+    return own.select(*by, "seq", "entity", "before", F.col("content").alias("after"))
+
+
+def _latest(versions: DataFrame, by: Sequence[str]) -> DataFrame:
+    newest = versions.groupBy(*by, "entity").agg(F.max_by("content", "seq").alias("content"), F.max("seq").cast("long").alias("seq"))
+    return newest.select(*by, "entity", "seq", "content")
+
+
+def delta_contents(index: Index, new: DataFrame) -> Index:
+    """delta_index for transactions that bring the contents they leave (column versions, array of entity and content), where no
+    history is at hand: the index itself keeps the last version of each structured entity, what changed in each transaction, and the
+    entities of those transactions. A pair that newly qualifies is trained from these.
+
+    Versions of one entity come in order. As in delta_index, a pair once trained stays trained."""
+    config, by = index.config, list(index.by)
+    delta = delta_index(index, new, new, counted=False)
+    versions = new.select(*by, "seq", F.inline("versions")).where(is_structured("entity")).select(*by, "seq", "entity", "content")
+    pairs = _with_known(versions, index.latest, by)
+    facets = json_changed_facets(F.col("before"), F.col("after"), config.facet_max_depth, config.max_facets_per_entity)
+    diffs = written(pairs.select(*by, "seq", "entity", facets.alias("facets")).where(F.size("facets") > 0), "diffs")
+    own = drop_merges(new).where(F.size("entities").between(1, config.max_transaction_size))
+    touched = own.join(diffs.select(*by, "seq").distinct(), [*by, "seq"], "left_semi").select(*by, "seq", "entities")
+    delta = replace(delta, latest=_latest(versions, by), diffs=diffs, touched=touched)
+    total = merge_levels([index, delta])
+    candidates = facet_candidates(directed_rules(total.pairs, total.counts, by), config, by)
+    again = written(backfill_plan(candidates, index.facet_training, by), "backfill")
+    reset = again.select(*by, "trigger").distinct()
+    steady = index.facet_training.join(reset, [*by, "trigger"], "left_anti")
+    observe = lambda d, t, training: facet_observations(d, training, t, config.max_transaction_size, by)
+    stats = facet_stats(observe(diffs, touched, steady), by).unionByName(facet_stats(observe(total.diffs, total.touched, again), by))
+    return replace(delta, facet_training=again.select(*by, "trigger", "companion"), facet_stats=stats, facet_resets=reset)
+
+
+UNITS = "array<struct<unit_id:string,text:string>>"
+
+
+def delta_unit_versions(index: Index, new: DataFrame) -> Index:
+    """delta_units for transactions that bring the units they leave (column units, array of entity, unit_id and text; unit_id null for
+    an entity without any): the sides before come from the last version of each entity, which the index keeps."""
+    by = list(index.by)
+    each = new.select(*by, "seq", F.inline("units"))
+    one = F.struct("unit_id", "text")
+    held = each.groupBy(*by, "seq", "entity").agg(F.array_sort(F.collect_list(F.when(F.col("unit_id").isNotNull(), one))).alias("_u"))
+    versions = written(held.select(*by, "seq", "entity", F.to_json("_u").alias("content")), "units")
+    pairs = _with_known(versions, index.latest, by)
+
+    def side(name: str) -> DataFrame:
+        rows = pairs.where(F.col(name).isNotNull()).select(*by, "seq", "entity", F.lit(name).alias("side"), F.inline_outer(F.from_json(name, UNITS)))
+        return rows.select(*by, "seq", "entity", "side", "unit_id", "text")
+
+    return replace(delta_units(index, new, side("before").unionByName(side("after"))), latest=_latest(versions, by))
+
+
 def count_batch(batch: DataFrame, number: int, stream: str, path: str, config: MiningConfig, by: Sequence[str] = ()) -> bool:
     """Batch `number` of a stream counted into the index at path, once: False where it was before.
 
     The ledger of the commit says which batch of which stream came last, so data and ledger change together. Transactions that a
     batch update has counted meanwhile are left out. An index that is damaged or has other settings is an error: a stream has no
-    history to build it from."""
+    history to build it from. With a column versions the batch feeds facets too (delta_contents); with a column units it is a
+    unit index that grows (delta_unit_versions)."""
     spark = batch.sparkSession
     if last_batch(spark, path, stream) >= number:
         return False
@@ -233,11 +296,18 @@ def count_batch(batch: DataFrame, number: int, stream: str, path: str, config: M
         raise ValueError(f"the index at {path} is damaged or has other settings: build it with update_index first")
     if batch.isEmpty():
         return False
+    base = stored or build_index(batch.limit(0), config, by=by, counted=False)
+    own = uncounted(batch, stored) if stored is not None else batch
+    if "units" in batch.columns:
+        delta = delta_unit_versions(base, own)
+    elif "versions" in batch.columns:
+        delta = delta_contents(base, own)
+    else:
+        delta = delta_index(base, own, own, counted=False)
     if stored is None:
-        write_index(replace(build_index(batch, replace(config, history_window=0), by=by, counted=False), config=config), path, number, stream)
-        return True
-    own = uncounted(batch, stored)
-    append_level(delta_index(stored, own, own, counted=False), path, {stream: number})
+        write_index(delta, path, number, stream)
+    else:
+        append_level(delta, path, {stream: number})
     return True
 
 

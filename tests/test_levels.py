@@ -251,3 +251,77 @@ def test_strong_rules_are_the_rules(spark, share):
         assert sorted(map(tuple, cut.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
     counts = mining.entity_counts(tx)
     assert mining.pair_events(mining.hopeful_transactions(tx, counts, 0.3, 40), carry=()).count() < mining.pair_events(tx, carry=()).count()
+
+
+DOCS = f"{TX}, versions array<struct<entity:string,content:string>>"
+
+
+def versions_of(sets, seed=2):
+    """Transactions with a.json and b.json among letters; each brings its contents, whose keys change at random."""
+    r, state, out = random.Random(seed), {}, []
+    for i, s in enumerate(sets):
+        own = [f"{x}.json" if x in "ab" else x for x in s]
+        docs = []
+        for e in own:
+            if e.endswith(".json"):
+                doc = dict(state.get(e, {"k1": 0, "k2": 0, "k3": {"x": 0}}))
+                doc[r.choice(["k1", "k2"])] = r.randint(0, 3)
+                state[e] = doc
+                docs.append((e, __import__("json").dumps(doc) if r.random() > 0.05 else None))
+                if docs[-1][1] is None:
+                    state.pop(e)
+        out.append((i, f"t{i}", None, own, docs))
+    return out
+
+
+def test_streamed_contents_equal_a_batch(spark, tmp_path):
+    config = MiningConfig(min_support=4, facet_candidate_floor=0.2)
+    rows = versions_of(some_sets(60, seed=8, letters="abcd"))
+    tx = spark.createDataFrame(rows, DOCS)
+    path = str(tmp_path / "index")
+    for number, (low, high) in enumerate(((0, 3), (3, 25), (25, 26), (26, 60))):
+        part = tx.where((F.col("seq") >= low) & (F.col("seq") < high))
+        assert incremental.count_batch(part, number, "s", path, config)
+        assert not incremental.count_batch(part, number, "s", path, config)
+    got = store.read_index(spark, path, config)
+    versions = tx.select("seq", F.inline("versions"))
+    contents = baskets.with_previous(versions, "content")
+    # pairs once trained stay trained: the batch form of the same updates
+    index = incremental.build_index(tx.where("seq < 3"), config, contents)
+    for low, high in ((3, 25), (25, 26), (26, 60)):
+        upto = tx.where(F.col("seq") < high)
+        index = incremental.extend_index(index, upto, upto.where(F.col("seq") >= low), contents)
+    stats = lambda i: sorted(map(tuple, i.facet_stats.select("trigger", "companion", "facet", "n", "co").collect()))
+    assert stats(got) == stats(index) and len(stats(got)) > 4
+    full = incremental.build_index(tx, config, contents)
+    own = full.facet_training.select("trigger", "companion")
+    assert sorted(map(tuple, got.facet_stats.join(own, ["trigger", "companion"], "left_semi").select("trigger", "companion", "facet", "n", "co").collect())) == stats(full)
+    assert {r["entity"] for r in got.latest.collect()} == {"a.json", "b.json"}
+
+
+def test_streamed_units_equal_a_batch(spark, tmp_path):
+    from basketwise.operators import units
+
+    r, config, rows, versions, state = random.Random(4), MiningConfig(unit_history_window=0), [], [], {}
+    for i in range(30):
+        files = r.sample(["f.cs", "g.cs", "h.txt"], r.randint(1, 2))
+        own = []
+        for f in files:
+            now = [(f"{f[0]}{k}", str(r.randint(0, 1))) for k in range(r.randint(0, 3))]
+            now += now[:1] if r.random() < 0.2 else []
+            own += [(f, u, t) for u, t in now] or [(f, None, None)]
+            for side, held in (("before", state.get(f)), ("after", now)):
+                if held is not None:
+                    versions += [(i, f, side, u, t) for u, t in held] or [(i, f, side, None, None)]
+            state[f] = now
+        rows.append((i, f"t{i}", None, files, own))
+    tx = spark.createDataFrame(rows, f"{TX}, units array<struct<entity:string,unit_id:string,text:string>>")
+    path = str(tmp_path / "units")
+    for number, (low, high) in enumerate(((0, 1), (1, 14), (14, 30))):
+        assert incremental.count_batch(tx.where((F.col("seq") >= low) & (F.col("seq") < high)), number, "s", path, config)
+    got = store.read_index(spark, path, config)
+    table = spark.createDataFrame(versions, "seq long, entity string, side string, unit_id string, text string")
+    want = incremental.build_index(units.unit_transactions(tx, table, config), config.for_units())
+    assert content(got) == content(want) and len(content(want)[1]) > 3
+    seen = mining.entity_locations(units.unit_locations(units.changed_units(table.join(tx.select("seq", F.explode("entities").alias("entity")).distinct(), ["seq", "entity"], "left_semi"))))
+    assert {r["entity"]: r["location"] for r in got.locations.collect() if r["entity"] in dict(content(want)[0])} == {r["entity"]: r["location"] for r in seen.collect() if r["entity"] in dict(content(want)[0])}
