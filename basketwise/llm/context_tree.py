@@ -206,6 +206,30 @@ def deep_probabilities(keys: np.ndarray, counts: np.ndarray, depth: int, top: in
     return p, summary
 
 
+def word_answer(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> bytes:
+    """The counts of the wanted words over all texts, 64 bits each."""
+    return counts[np.searchsorted(keys, wanted)].astype(np.int64).tobytes()
+
+
+SLICES = 16
+
+
+def _slices(node: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of depth-1 nodes by slice, so that no task sums them all."""
+    for i in range(SLICES):
+        at = np.flatnonzero(node & U(SLICES - 1) == i)
+        if len(at):
+            yield i, at
+
+
+def sum_nodes(table: pa.Table) -> pa.Table:
+    """The partial sums of one slice's nodes, which every bucket below them has one of, added up."""
+    parts = [np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[c]]) for c, kind in (("keys", U), ("below", float), ("zero", float), ("one", float))]
+    node, back = np.unique(parts[0], return_inverse=True)
+    sums = [np.bincount(back, v, len(node)) for v in parts[1:]]
+    return pa.table({c: pa.array([v.tobytes()], pa.binary()) for c, v in zip(("keys", "below", "zero", "one"), (node, *sums))})
+
+
 class TopNodes:
     """Depths 0 and 1: at most 255 and 256*255 nodes."""
 
@@ -296,9 +320,10 @@ def score_documents(
     docs: DataFrame, depth: int = 5, block_bytes: int = 16 << 20, buckets: int | None = None,
     key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """One row per input row: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per input row: key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    score: log10 probability of the text's words and end under the context trees; base_score: the same under add-one
+    score: log10 probability of the text's words and end under the context trees; bits_per_byte: its code length for each
+    byte that is coded (words, one blank between them, the end); base_score: the same under add-one
     word counts. Null or empty text: only the end is coded. Null keys train like the key ''. Repeated rows are separate
     training texts. If every document is held out, the trees are empty: each bit costs one bit, and every word is
     unknown. An empty table gives an empty table. Texts are used whole, whatever their length; further columns are left out.
@@ -342,7 +367,7 @@ def score_documents(
         sent_keys, (keys, counts) = gathered(table)
         if kind == "word":
             rows = [
-                ("word", bucket, b, None, counts[np.searchsorted(keys, k)].astype(np.uint32).tobytes(), None, None, None, 0)
+                ("word", bucket, b, None, word_answer(keys, counts, k), None, None, None, 0)
                 for b, k in zip(table["block"].to_pylist(), sent_keys)
             ]
             rows.append(("known", bucket, None, None, None, None, None, None, int((counts > 0).sum())))
@@ -350,7 +375,7 @@ def score_documents(
             deep, (node, below, zero, one) = deep_probabilities(keys, counts, depth)
             rows = [
                 ("deep", bucket, None, keys.tobytes(), deep.astype(np.float32).tobytes(), None, None, None, 0),
-                ("top", bucket, None, node.tobytes(), None, below.tobytes(), zero.tobytes(), one.tobytes(), 0),
+                *(("top", i, None, *(None if v is None else v[at].tobytes() for v in (node, None, below, zero, one)), 0) for i, at in _slices(node)),
             ]
         return pa.Table.from_batches([_batch(rows, made_schema)])
 
@@ -358,7 +383,9 @@ def score_documents(
     known = built.agg(F.sum("known")).first()[0] or 0
     vocabulary = known + (ends > 0)
     arrays = lambda r: (np.frombuffer(r[0], U), *(np.frombuffer(x, float) for x in r[1:]))
-    top = TopNodes([arrays(r) for r in built.where("kind = 'top'").select("keys", "below", "zero", "one").collect()])
+    parts = built.where("kind = 'top'").select("bucket", "keys", "below", "zero", "one")
+    summed = parts.groupBy("bucket").applyInArrow(sum_nodes, "keys binary, below binary, zero binary, one binary")
+    top = TopNodes([arrays(r) for r in summed.collect()])  # 257*255 nodes at most
 
     def answer(group: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -375,7 +402,7 @@ def score_documents(
         .cogroup(built.where("kind = 'deep'").groupBy("bucket")).applyInArrow(answer, BACK)
     )
     back = strings.unionByName(built.where("kind = 'word'").select("block", "kind", "bucket", "vals"))
-    result = "k string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    result = "k string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     result_schema = _arrow(result)
     scale = np.log10(float(tokens + 1 * (vocabulary + 1)))
 
@@ -401,7 +428,7 @@ def score_documents(
             return out
 
         sorted_words = np.unique(word_keys)
-        counts = spread(sorted_words, word_bucket(sorted_words, n), "word", np.uint32)
+        counts = spread(sorted_words, word_bucket(sorted_words, n), "word", np.int64)
         counts = counts[np.searchsorted(sorted_words, word_keys)].astype(float)
         logs, seen = np.log10(counts + 1) - scale, counts > 0
         end = np.log10(ends + 1.0) - scale
@@ -414,19 +441,21 @@ def score_documents(
         uniques = [np.unique(strings_of(texts[a:b], depth)[0]) for a, b in chunks]
         keys = np.unique(np.concatenate(uniques))
         look = Lookup(keys, spread(keys, string_bucket(keys, n), "string", np.float32))
-        scores = []
+        scores, coded = [], []
         for a, b in chunks:
             strings, sizes = strings_of(texts[a:b], depth)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             scores.append(np.add.reduceat(look(strings).astype(float), starts) / LN10)
+            coded.append(sizes)
         rows = list(zip(
             [None if k is None else str(k) for k in ks], map(held_out, ks), [len(w) + 1 for w in words],
             [int(seen[i].sum()) + (ends > 0) for i in ids], [tokens] * len(ks),
             [float(logs[i].sum() + end) for i in ids], np.concatenate(scores).tolist(),
+            (-np.concatenate(scores) * np.log2(10) / np.concatenate(coded)).tolist(),
         ))
         return pa.Table.from_batches([_batch(rows, result_schema)])
 
     out = base.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, result)
     return out.withColumn(key, F.col("k").cast(docs.schema[key].dataType)).select(
-        key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+        key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
     )

@@ -1,7 +1,7 @@
 """Secret scans: strong patterns everywhere, weak candidates only where complementary parts stand together.
 
 All native: patterns, lengths and arrays are built-in functions. The spans of a pattern come from cutting the text at
-its matches: pieces and matches alternate, so the running sum of their lengths gives every start and end. Parts (access
+its matches: pieces and matches alternate, so running sums of their lengths, as rows, give every start and end. Parts (access
 identifiers, secrets, endpoints) of a document become rows of one shuffle keyed by the row. The interval join needs no
 pairs: of the parts that start no later than this one the latest end tells whether one stands near before it, of those
 that start no earlier the first start tells whether one stands near after it, for each side.
@@ -28,37 +28,19 @@ KINDS = ("assign", "access", "hex", "user", "key", "place")
 BASE = KINDS[:3]
 #: What each kind can stand for; a weak one is reported only next to parts of the other sides.
 SIDES = {"access": "id", "user": "id", "assign": "secret", "hex": "secret", "key": "secret", "place": "place"}
-SPAN = "array<struct<s:int,e:int,k:int>>"
+CUT = "array<struct<k:int,i:int,gap:int,m:int,g:int>>"
 
 
-def spans_of(text: Column, pattern: str, kind: str, keep: Column | None = None) -> Column:
-    """Array of (s, e, k) of all leftmost non-overlapping matches; keep filters by what was matched (m, g)."""
+def cut_at(text: Column, pattern: str, kind: str) -> Column:
+    """Array of (k, i, gap, m, g), one for each leftmost non-overlapping match: its number, and the lengths of what stands between it and
+    the match before, of the match and of its group. Lengths only, so a text with very many matches costs no more than in proportion."""
     k = KINDS.index(kind)
-    cut = F.transform(F.split(text, pattern, -1), F.length)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if "(" in pattern and kind == "assign" else found
-    rows = F.arrays_zip(F.slice(cut, F.lit(1), F.size(found)).alias("gap"), found.alias("m"), group.alias("g"))
-    walked = F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,k:int,m:string,g:string>>").alias("out")),
-        lambda a, r: F.struct(
-            (a["at"] + r["gap"] + F.length(r["m"])).alias("at"),
-            F.concat(
-                a["out"],
-                F.array(
-                    F.struct(
-                        (a["at"] + r["gap"]).alias("s"), (a["at"] + r["gap"] + F.length(r["m"])).alias("e"),
-                        F.lit(k).alias("k"), r["m"].alias("m"), r["g"].alias("g"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    if keep is not None:
-        walked = F.filter(walked, lambda r: F.length(r["g"]) >= keep)
-    plain = F.transform(walked, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), r["k"].alias("k")))
-    return F.when(text.rlike(pattern), plain).otherwise(F.array().cast(SPAN))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    group = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.length) if kind == "assign" else found
+    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("m"), group.alias("g"))
+    numbered = F.transform(rows, lambda r, i: F.struct(F.lit(k).alias("k"), i.alias("i"), r["gap"].alias("gap"), r["m"].alias("m"), r["g"].alias("g")))
+    return F.when(text.rlike(pattern), numbered).otherwise(F.array().cast(CUT))
 
 
 def joined(spans: Column) -> Column:
@@ -74,7 +56,10 @@ def joined(spans: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, scope: int = 300, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: key, n_assign, n_access, n_hex, base_sha256, spans.
+    """One row per input row: key, n_assign, n_access, n_hex, base_sha256, spans, links.
+
+    links tells which reported parts belong together: set:kind:start:end of every part in a set of two sides or three, where a set is a
+    run of parts each of which starts at most `scope` after the latest end before it.
 
     A weak part (user, key, place) with parts of both other sides at most `scope` characters away (from the end of the
     one to the start of the other, overlapping ones at 0) is reported, and so is a weak identifier or key that near to a
@@ -83,21 +68,18 @@ def find_secrets(docs: DataFrame, scope: int = 300, key: str = "doc_id", text: s
     their own rows, parted by a row number given at the scan; an empty table stays empty; further columns are left out.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    base = F.concat(
-        spans_of(F.col("_t"), ASSIGN, "assign", F.lit(MIN_ASSIGN)),
-        spans_of(F.col("_t"), ACCESS, "access", F.lit(MIN_ACCESS)),
-        spans_of(F.col("_t"), HEX, "hex"),
-    )
-    weak = F.concat(
-        spans_of(F.col("_t"), USER, "user"), spans_of(F.col("_t"), KEY, "key"), spans_of(F.col("_t"), PLACE, "place")
-    )
-    rows = docs.select(F.col(key).alias("_k"), body.alias("_t")).select("_k", base.alias("base"), weak.alias("weak"))
+    patterns = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, USER, KEY, PLACE)))
+    cuts = F.concat(*[cut_at(F.col("_t"), p, kind) for kind, p in patterns.items()])
+    rows = docs.select(F.col(key).alias("_k"), body.alias("_t")).select("_k", cuts.alias("cuts"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    # a document without weak parts has nothing to link
-    head = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit(-1).alias("k"))
-    parts = rows.select(
-        "row", "_k", F.explode(F.concat(F.array(head), "base", "weak")).alias("p")
-    ).select("row", "_k", "p.*")
+    # one part at the head of each row, so that rows without matches stay
+    head = F.struct(*[F.lit(-1).alias(c) for c in ("k", "i", "gap", "m", "g")])
+    parts = rows.select("row", "_k", F.explode(F.concat(F.array(head), "cuts")).alias("p")).select("row", "_k", "p.*").repartition("row")
+    ends = F.sum(F.col("gap") + F.col("m")).over(Window.partitionBy("row", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("e", F.when(F.col("k") < 0, -1).otherwise(ends).cast("int"))
+    parts = parts.withColumn("s", F.when(F.col("k") < 0, -1).otherwise(F.col("e") - F.col("m")))
+    least = F.when(F.col("k") == KINDS.index("assign"), MIN_ASSIGN).when(F.col("k") == KINDS.index("access"), MIN_ACCESS).otherwise(-1)
+    parts = parts.where(F.col("g") >= least).select("row", "_k", "s", "e", "k")
     so_far = Window.partitionBy("row").orderBy("s").rangeBetween(Window.unboundedPreceding, 0)
     from_here = Window.partitionBy("row").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0)
     side = F.element_at(F.array(*[F.lit(SIDES[k]) for k in KINDS]), F.when(F.col("k") >= 0, F.col("k") + 1).otherwise(1))
@@ -123,12 +105,21 @@ def find_secrets(docs: DataFrame, scope: int = 300, key: str = "doc_id", text: s
     reported = seen.withColumn("covered", F.coalesce(inside, F.lit(-1)) > F.col("s")).where(
         (F.col("k") < len(BASE)) | (linked & ~F.col("covered"))
     )
+    # a set ends where nothing starts within the scope of what ended last
+    upto = F.max("e").over(Window.partitionBy("row").orderBy("s", "k").rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(real & ((upto < 0) | (F.col("s") > upto + scope)), 1).otherwise(0)
+    reported = reported.withColumn("_o", opens).withColumn("set", F.sum("_o").over(Window.partitionBy("row").orderBy("s", "k"))).withColumn(
+        "sides", F.size(F.collect_set(F.when(real, F.col("side"))).over(Window.partitionBy("row", "set")))
+    )
     per = reported.groupBy("row").agg(
-        F.first("_k").alias(key), F.collect_list(F.when(real, F.struct("s", "e", "k"))).alias("all")
+        F.first("_k").alias(key), F.collect_list(F.when(real, F.struct("s", "e", "k"))).alias("all"),
+        F.collect_list(F.when(real & (F.col("sides") > 1), F.struct("set", "s", "k", "e"))).alias("sets"),
     )
+    names = F.array(*map(F.lit, KINDS))
+    linked = F.transform(F.array_sort("sets"), lambda r: F.concat_ws(":", r["set"].cast("string"), F.element_at(names, r["k"] + 1), r["s"].cast("string"), r["e"].cast("string")))
     base_only = F.filter("all", lambda r: r["k"] < len(BASE))
     count = lambda kind: F.size(F.filter("all", lambda r: r["k"] == KINDS.index(kind))).cast("long")
     return per.select(
         key, count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
-        F.sha2(joined(base_only), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"),
+        F.sha2(joined(base_only), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"), F.array_join(linked, ",").alias("links"),
     )

@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .workspace import stash
+
 # fixed values of the file format
 MAGIC = b"BWSHARD2"
 HEAD = struct.Struct("<8sIIIIIIIQ")  # magic, task, shard of the task, bytes an id, documents, keys, levels, null keys, ids
@@ -239,10 +241,15 @@ def write_shards(
     the order of a hash of their texts; rows equal in both keep their own places. Texts are encoded whole, one longer
     than a shard has a shard to itself. An empty table writes no shard. Other columns are left out.
 
+    Keys are integers, as the files hold them in 64 bits; another type of column is a TypeError. Map other keys to numbers first.
+
     Texts are range-partitioned on the key (then a hash of the text, so that one key with very many documents is
     still parted) and encoded where they land; a task holds one shard at a time and rolls to the next at shard_bytes.
     """
 
+    if docs.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} is no column of integers")
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list = []
         blobs: list = []
@@ -291,8 +298,8 @@ def _shards(spark: SparkSession, path: str, of_shard, schema: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, schema)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, by reading the files back.
+def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+    """key, start (ids of all documents before it), n_tokens, ids_crc32, by reading the files back.
 
     Every document is fetched by its key through its shard's index. Starts within a shard come from the shard; the ids
     before the shard from the totals of the shards of its task (a window by task) and of the tasks (one row a task).
@@ -310,14 +317,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             ["task", "shard", "doc_id", "start", "n_tokens", "ids_crc32"],
         )
 
-    def totals(s: Shard) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (s.task, s.number, s.ids)], ["task", "shard", "ids"])
-
     rows = _shards(spark, path, documents, "task long, shard long, doc_id long, start long, n_tokens long, ids_crc32 long")
-    sums = _shards(spark, path, totals, "task long, shard long, ids long")
+    rows = stash(rows, "shard-documents")  # numbers only; the files are read once
+    sums = rows.groupBy("task", "shard").agg(F.sum("n_tokens").alias("ids"))
     before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     of_task = sums.groupBy("task").agg(F.sum("ids").alias("ids")).select("task", before(Window.orderBy("task")).alias("tasks_before"))
     base = sums.select("task", "shard", before(Window.partitionBy("task").orderBy("shard")).alias("shards_before")).join(of_task, "task")
     return rows.join(base, ["task", "shard"]).select(
-        "doc_id", (F.col("tasks_before") + F.col("shards_before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32"
+        F.col("doc_id").alias(key), (F.col("tasks_before") + F.col("shards_before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32"
     )
