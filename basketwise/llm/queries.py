@@ -93,6 +93,39 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 finds by its base patterns alone."""
+    return op4_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+SECRET_SQL = r"""
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex
+FROM documents"""
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 counts before its learned rules."""
+    return op9_quality_rules(spark, sf_dir).drop("kept")
+
+
+QUALITY_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+w AS (SELECT doc_id, i, words[i:i+2] AS three FROM t, LATERAL (SELECT unnest(generate_series(1, len(words) - 2)) AS i)),
+twice AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, three) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) AS o(j) GROUP BY doc_id),
+c AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM t LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c"""
+
+
 AUDIT_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
@@ -142,5 +175,5 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_context_tree, op3_line_dedup, op4_secret_scans, op5_near_dedup, op6_bpe_codec, op7_decontamination, op8_repeated_strings, op9_quality_rules, op10_token_shards, op11_filter_audit, op12_quality_model, op13_spelling_variants)}
-ORACLES: dict[str, str] = {"op11_filter_audit": AUDIT_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_context_tree, op3_line_dedup, op4_secret_scans, op5_near_dedup, op6_bpe_codec, op7_decontamination, op8_repeated_strings, op9_quality_rules, op10_token_shards, op11_filter_audit, op12_quality_model, op13_spelling_variants, secret_base_counts, quality_base_counts)}
+ORACLES: dict[str, str] = {"op11_filter_audit": AUDIT_SQL, "secret_base_counts": SECRET_SQL, "quality_base_counts": QUALITY_SQL}
