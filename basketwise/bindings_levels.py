@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from basketwise import bindings as b
 from basketwise.bindings import CUSTNAT, EV3D, query
 from basketwise.bindings_upkeep import COUNTED, WIDE, _counted, _labelled
-from basketwise.functions.scoring import wilson_sql
 from basketwise.operators import lookup, mining, mutes
 from basketwise.sources import baskets, store
 from basketwise.sources.scratch import listed, new_path, removed

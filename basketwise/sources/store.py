@@ -20,6 +20,7 @@ import json
 import time
 import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from py4j.protocol import Py4JJavaError
@@ -36,6 +37,8 @@ from basketwise.sources.scratch import listed, removed
 FORMAT = 2
 SECTIONS = ("counts", "pairs", "labels", "facet_stats", "facet_training", "locations", "heads", "group_resets", "facet_resets", "latest", "diffs", "touched")
 IGNORES = "trigger string, hole string, until_trigger_changes long, created_at timestamp, note string"
+#: Sections that are written at once.
+WRITERS = 4
 #: Seconds after which a commit that was begun and not finished is taken for given up.
 UNFINISHED = 600
 HEADS = "head string, seq long, transactions long, counted array<struct<after:bigint,upto:bigint>>"
@@ -180,12 +183,11 @@ def _write_level(index: Index, path: str) -> dict:
     """A new level and its manifest. Sections without rows are left out."""
     spark = index.counts.sparkSession
     name = uuid.uuid4().hex
-    folder, schemas = f"{path}/levels/{name}", {}
-    for section in SECTIONS:
-        table = getattr(index, section)
-        if table is not None and table.columns:
-            table.write.parquet(f"{folder}/{section}")
-            schemas[section] = table.schema
+    folder = f"{path}/levels/{name}"
+    tables = {s: t for s in SECTIONS if (t := getattr(index, s)) is not None and t.columns}
+    with ThreadPoolExecutor(WRITERS) as pool:  # most sections are small, so their jobs run side by side
+        list(pool.map(lambda s: tables[s].write.parquet(f"{folder}/{s}"), tables))
+    schemas = {s: t.schema for s, t in tables.items()}
     back = {s: spark.read.schema(schema).parquet(f"{folder}/{s}") for s, schema in schemas.items()}
     sums, files = _checksums(spark, back), _lengths(spark, [folder])[folder]
     return {
@@ -278,8 +280,12 @@ def append_level(delta: Index, path: str, ledger: Mapping[str, int] | None = Non
     before, damaged = current_commit(spark, path)
     if before is None or damaged:
         raise ValueError(f"{path} has no index to add to")
-    levels = [*before["levels"], _write_level(delta, path)]
     rows = lambda level: sum(m["rows"] for m in level["sections"].values())
+    made = _write_level(delta, path)
+    levels = [*before["levels"], *([made] if rows(made) else [])]
+    if not rows(made):  # only the ledger moves
+        _commit(spark, path, before, levels, delta.config, by, before["ledger"] | dict(ledger or {}))
+        return
     start, size = len(levels) - 1, rows(levels[-1])
     while start > 0 and rows(levels[start - 1]) < ratio * size:
         start -= 1
