@@ -34,6 +34,9 @@ from .workspace import stash
 MAGIC = b"BWSHARD2"
 HEAD = struct.Struct("<8sIIIIIIIQ")  # magic, task, shard of the task, bytes an id, documents, keys, levels, null keys, ids
 GAMMA = 1.5
+#: What str.split() takes for a blank beside " \t\n\r".
+OTHER_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\r"]
+END_MARKS = frozenset(",.;:!?")
 #: Words whose ids a worker keeps, in each of two generations.
 KEPT = 400_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -174,8 +177,6 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.blanks = re.compile("[ \t\n\r]+").split
-        # what str.split() takes for a blank beside those four
-        self.others = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
         vocabulary = self.library.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -210,16 +211,16 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # the vocabulary is lower case; plain letters are lowered here already, so that fewer words differ
-        cut = [self.blanks(t) if self.others(t) else t.split() for t in (t.lower() if t.isascii() else t for t in texts)]
+        cut = [self.blanks(t) if any(map(t.__contains__, OTHER_BLANKS)) else t.split() for t in (t.lower() if t.isascii() else t for t in texts)]
         if len(self.kept) > KEPT:
             self.kept, self.older = {}, self.kept
         known, older = self.kept, self.older
-        new = set().union(*cut) - known.keys()
+        new = set().union(*cut).difference(known)
         again = {w for w in new if w in older}
         for w in again:
             known[w] = older[w]
         new -= again
-        ends = {w for w in new if w[-1:] in set(",.;:!?") and self.plain(w[:-1])}
+        ends = {w for w in new if w[-1:] in END_MARKS and self.plain(w[:-1])}
         pieces = (new - ends) | {p for w in ends for p in (w[:-1], w[-1]) if p not in known}
         letters = {w for w in pieces if self.plain(w)}
         self.ask_letters(sorted(letters))
