@@ -42,6 +42,13 @@ def listed(spark: SparkSession, path: str) -> list[tuple[str, float]]:
     return [(x.getPath().getName(), x.getModificationTime() / 1000) for x in files.listStatus(where)] if files.exists(where) else []
 
 
+def lengths(spark: SparkSession, path: str) -> dict[str, int]:
+    """Bytes of the data files in a folder by name: a listing, contents stay unread. Nothing where there is no folder."""
+    where, files = _files(spark, path)
+    found = files.listStatus(where) if files.exists(where) else []
+    return {n: x.getLen() for x in found if not (n := x.getPath().getName()).startswith(("_", "."))}
+
+
 def removed(spark: SparkSession, path: str) -> None:
     where, files = _files(spark, path)
     files.delete(where, True)

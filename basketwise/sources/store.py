@@ -27,12 +27,13 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from basketwise.config import MiningConfig
 from basketwise.operators.mining import prune_labels
 from basketwise.sources.running import running_sum
-from basketwise.sources.scratch import listed, removed
+from basketwise.sources.scratch import lengths, listed, removed
 
 FORMAT = 2
 SECTIONS = ("counts", "pairs", "labels", "facet_stats", "facet_training", "locations", "heads", "group_resets", "facet_resets", "latest", "diffs", "touched")
@@ -161,52 +162,32 @@ def _checksums(spark: SparkSession, tables: Mapping[str, DataFrame]) -> dict[str
     return {r["name"]: (r["rows"], r["sum"]) for r in sums.collect()} if sums is not None else {}
 
 
-def _lengths(spark: SparkSession, folders: Sequence[str]) -> dict[str, dict[str, int]]:
-    """Bytes of every data file by folder and path below it: a listing, contents stay unread."""
-    out: dict[str, dict[str, int]] = {f: {} for f in folders}
-    for folder in folders:
-        for section, _ in listed(spark, folder):
-            where, files = _spot(spark, f"{folder}/{section}")
-            for x in files.listStatus(where):
-                name = x.getPath().getName()
-                if not name.startswith(("_", ".")):
-                    out[folder][f"{section}/{name}"] = x.getLen()
-    return out
-
-
-def _spot(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+def _schema(section: Mapping) -> StructType:
+    return StructType.fromJson(json.loads(section["schema"]))
 
 
 def _write_level(index: Index, path: str) -> dict:
-    """A new level and its manifest. Sections without rows are left out."""
+    """A new level and its manifest."""
     spark = index.counts.sparkSession
     name = uuid.uuid4().hex
     folder = f"{path}/levels/{name}"
     tables = {s: t for s in SECTIONS if (t := getattr(index, s)) is not None and t.columns}
     with ThreadPoolExecutor(WRITERS) as pool:  # most sections are small, so their jobs run side by side
         list(pool.map(lambda s: tables[s].write.parquet(f"{folder}/{s}"), tables))
-    schemas = {s: t.schema for s, t in tables.items()}
-    back = {s: spark.read.schema(schema).parquet(f"{folder}/{s}") for s, schema in schemas.items()}
-    sums, files = _checksums(spark, back), _lengths(spark, [folder])[folder]
-    return {
-        "folder": name,
-        "sections": {
-            s: {"rows": sums[s][0], "sum": sums[s][1], "schema": schemas[s].json(), "files": {f.split("/", 1)[1]: n for f, n in files.items() if f.startswith(f"{s}/")}}
-            for s in schemas
-        },
-    }
+    sums = _checksums(spark, {s: spark.read.schema(t.schema).parquet(f"{folder}/{s}") for s, t in tables.items()})
+    sections = {
+        s: {"rows": sums[s][0], "sum": sums[s][1], "schema": t.schema.json(), "files": lengths(spark, f"{folder}/{s}")} for s, t in tables.items()
+    }
+    return {"folder": name, "sections": sections}
 
 
 def _read_level(spark: SparkSession, path: str, level: Mapping, config: MiningConfig, by: Sequence[str]) -> Index:
-    from pyspark.sql.types import StructType
-
     tables = {}
     for s, m in level["sections"].items():
-        schema = StructType.fromJson(json.loads(m["schema"]))
-        if m["rows"] or s not in ("group_resets", "facet_resets"):  # those without rows cost every reader a join
-            tables[s] = spark.read.schema(schema).parquet(f"{path}/levels/{level['folder']}/{s}") if m["rows"] else spark.createDataFrame([], schema)
+        if m["rows"]:
+            tables[s] = spark.read.schema(_schema(m)).parquet(f"{path}/levels/{level['folder']}/{s}")
+        elif s not in ("group_resets", "facet_resets"):  # an empty one of these would cost every reader a join
+            tables[s] = spark.createDataFrame([], _schema(m))
     return Index.of(spark, tables.pop("counts"), tables.pop("pairs"), tables.pop("labels"), by, config=config, **tables)
 
 
@@ -301,17 +282,13 @@ def append_level(delta: Index, path: str, ledger: Mapping[str, int] | None = Non
 
 def _whole(spark: SparkSession, path: str, levels: Sequence[Mapping], verify: str) -> bool:
     """Whether all files are there with their lengths; with verify="content" also rows and checksums, which reads all of them."""
-    folders = {f"{path}/levels/{x['folder']}": x for x in levels}
-    found = _lengths(spark, list(folders))
-    for folder, level in folders.items():
-        want = {f"{s}/{f}": n for s, m in level["sections"].items() for f, n in m["files"].items()}
-        if any(found[folder].get(f) != n for f, n in want.items()):
+    for level in levels:
+        folder, sections = f"{path}/levels/{level['folder']}", level["sections"]
+        if any(lengths(spark, f"{folder}/{s}") != m["files"] for s, m in sections.items()):
             return False
         if verify == "content":
-            from pyspark.sql.types import StructType
-
-            tables = {s: spark.read.schema(StructType.fromJson(json.loads(m["schema"]))).parquet(f"{folder}/{s}") for s, m in level["sections"].items()}
-            if _checksums(spark, tables) != {s: (m["rows"], m["sum"]) for s, m in level["sections"].items()}:
+            tables = {s: spark.read.schema(_schema(m)).parquet(f"{folder}/{s}") for s, m in sections.items()}
+            if _checksums(spark, tables) != {s: (m["rows"], m["sum"]) for s, m in sections.items()}:
                 return False
     return True
 
