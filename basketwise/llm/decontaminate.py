@@ -1,14 +1,17 @@
-"""Benchmark decontamination: seeds of all places, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare seeds of words joined to the items that hold them, then Smith-Waterman alignment of words.
 
 Every three words of a benchmark item, next to each other or with one left out, are a seed (fewer words where fewer are
-a leak). Seeds are looked up in every document; one hit is enough. Hits of an item that lie close together are one
-passage; the passage, with as many words around it as the item could reach, is aligned with the item by Smith-Waterman
-over words, unless fewer of its words are the item's than a leak needs. A leak is an aligned passage that is similar
-enough and covers enough of the item, or is long.
-
-The benchmark is the stated query set: its seeds go to the tasks in blocks of at most block_seeds (some tens of MB),
-one pass over the documents for each block, so what is sent has a fixed bound however large the benchmark grows. The
-documents are never shuffled; only leaks are.
+a leak). A first pass over the documents counts how many hold each seed. A seed is rare where these documents times the items
+that hold it are few; common seeds go, but for the rarest one of every stretch of an item that has the words a leak needs,
+so an exact copy of such a stretch always holds a seed that is kept, however common its words are.
+
+A second pass keeps documents with kept seeds, which are joined with the items by seed. Each pair is then looked at whole:
+hits of all seeds of the item, common ones too, that lie close together are one passage; the passage, with as many words
+around it as the item could reach, is aligned with the item by Smith-Waterman over words, unless fewer of its words are the
+item's than a leak needs. A leak is an aligned passage that is similar enough and covers enough of the item, or is long.
+
+Documents are scanned twice whatever the size of the benchmark. What is sent to the tasks is a Bloom filter of at most
+32 * block_seeds bytes, built by Spark; the join tells hits from chance. Texts without a hit are never written or shuffled.
 """
 
 import math
@@ -19,9 +22,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import stash
+
 U = np.uint64
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -121,6 +126,35 @@ class SeedTable:
         return at[self.seeds[found] == grams[at]]
 
 
+class SeedFilter:
+    """A Bloom filter: one number of 64 bits for each seed, four of them set."""
+
+    def __init__(self, places: np.ndarray, masks: np.ndarray, bits: int):
+        self.shift, self.masks = U(64 - bits), np.zeros(1 << bits, U)
+        self.masks[places] = masks
+
+    def hits(self, grams: np.ndarray) -> np.ndarray:
+        """Those of the grams that may be seeds, all seeds among them."""
+        mask = _mask_of(grams)
+        return grams[self.masks[(grams >> self.shift).astype(np.int64)] & mask == mask]
+
+
+def _mask_of(grams: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(grams), U)
+    for i in range(4):
+        out |= U(1) << (grams >> U(6 * i) & U(63))
+    return out
+
+
+def seed_filter(seeds: DataFrame, block_seeds: int) -> SeedFilter:
+    """The filter of seeds(gram). It has room for block_seeds seeds at most; with more of them it lets more pass."""
+    once = seeds.select("gram").distinct()
+    bits = (4 * max(1, min(once.count(), block_seeds)) - 1).bit_length()
+    mask = reduce(Column.bitwiseOR, [F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {6 * i}) & 63 as int))") for i in range(4)])
+    table = once.groupBy(F.shiftrightunsigned("gram", 64 - bits).alias("at")).agg(F.bit_or(mask).alias("m")).toArrow()
+    return SeedFilter(table["at"].to_numpy(), table["m"].to_numpy().view(U), bits)
+
+
 LEAKS = "item_no long, matches long, item_from long, item_to long, item_words long, doc_from long, doc_to long, cover double, similarity double"
 
 
@@ -193,9 +227,9 @@ def best_scores(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 18
     return out
 
 
-def leaks_in(texts: list[np.ndarray], items: list[tuple], seeds: dict, tables: dict, min_cover: float, min_similarity: float, long_match: int) -> list[list[tuple]]:
-    """Rows of LEAKS of each document's words: for each item the leak with most matches. Passages of all documents are
-    scored side by side; only those that can be a leak by their score are aligned."""
+def leaks_in(texts: list[np.ndarray], items: list[tuple], seeds: dict, tables: dict, min_cover: float, min_similarity: float, long_match: int, wanted: list[set[int]] | None = None) -> list[list[tuple]]:
+    """Rows of LEAKS of each document's words: for each item (of wanted ones, if given by document) the leak with most matches.
+    Passages of all documents are scored side by side; only those that can be a leak by their score are aligned."""
     todo: list[tuple[int, int, int, int]] = []
     for d, own in enumerate(texts):
         by_item = defaultdict(set)
@@ -203,7 +237,8 @@ def leaks_in(texts: list[np.ndarray], items: list[tuple], seeds: dict, tables: d
             of, grams = seeds[shape], grams_of(own, shape)
             for pos in table.hits(grams).tolist():
                 for k, at in of[int(grams[pos])]:
-                    by_item[k].add((pos, at))
+                    if wanted is None or k in wanted[d]:
+                        by_item[k].add((pos, at))
         for k, hits in by_item.items():
             n = len(items[k][1])
             for a, b in passages(hits, n, 2 + int(n * (1 / min_similarity - 1))):
@@ -247,58 +282,177 @@ def leaks_of(own: np.ndarray, *how) -> list[tuple]:
     return leaks_in([own], *how)[0]
 
 
-def _leaks_in(docs, items, seeds, min_cover, min_similarity, long_match, key, text):
-    fields = [x.rsplit(" ", 1) for x in LEAKS.split(", ")]
+def _every_gram(words: np.ndarray, shapes: list[tuple[int, ...]]) -> np.ndarray:
+    return np.concatenate([grams_of(words, shape) for shape in shapes])
+
+
+def _item_seeds(bench: DataFrame, min_cover: float, long_match: int) -> DataFrame:
+    """no, first (whether the seed is of the item's first shape), at, gram of every seed of bench(no, words)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for no, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                words = np.frombuffer(raw, U)
+                for i, shape in enumerate(shapes_of(least_matches(len(words), min_cover, long_match))):
+                    grams = grams_of(words, shape).view(np.int64)
+                    n = len(grams)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, no)), pa.array(np.full(n, i == 0)), pa.array(np.arange(n)), pa.array(grams)], ["no", "first", "at", "gram"])
+
+    return bench.select("no", "words").mapInArrow(cut, "no long, first boolean, at long, gram long")
+
+
+def _document_counts(docs: DataFrame, seeds: SeedFilter, shapes: list[tuple[int, ...]]) -> DataFrame:
+    """gram, n: how many documents hold each gram that passes the filter; n of the gram null is the number of all documents."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tables = Words(), {shape: SeedTable(np.fromiter(of, U, len(of))) for shape, of in seeds.items()}
-        known = [(i, w, set(w.tolist())) for i, w in items]
+        words = Words()
         for batch in batches:
-            keys, rows, part, size = [], [], [], 0
-            for place, t in enumerate(batch.column(1)):
-                part.append(words(t.as_py()))
+            part, size = [], 0
+            for place, t in enumerate(batch.column(0)):
+                grams = seeds.hits(_every_gram(words(t.as_py()), shapes))
+                part.append(np.unique(grams))
                 size += len(part[-1])
-                if size > 200_000 or place == batch.num_rows - 1:  # so many words are held at a time
-                    for i, found in enumerate(leaks_in(part, known, seeds, tables, min_cover, min_similarity, long_match)):
-                        keys += [place - len(part) + 1 + i] * len(found)
-                        rows += found
+                if size > 200_000 or place == batch.num_rows - 1:  # so many grams are held at a time
+                    grams, n = np.unique(np.concatenate(part), return_counts=True)
+                    columns = [pa.array([None, *grams.view(np.int64).tolist()], pa.int64()), pa.array([len(part), *n.tolist()], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["gram", "n"])
                     part, size = [], 0
-            columns = [pa.array(c, pa.float64() if kind == "double" else pa.int64()) for c, (_, kind) in zip(zip(*rows) if rows else [[]] * len(fields), fields)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), *columns], ["k", *(f for f, _ in fields)])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(scan, f"k {kind}, {LEAKS}")
+    return docs.select("t").mapInArrow(scan, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def rare_places(at: np.ndarray, weight: np.ndarray, first: np.ndarray, words: int, limit: float) -> np.ndarray:
+    """Which seeds of an item to keep: those of at most limit, and of those of the first shape the rarest ones of every
+    `words` places next to each other, all that are equally rare."""
+    keep = weight <= limit
+    of = np.full(int(at.max()) + 1, np.inf)
+    of[at[first]] = weight[first]
+    words = min(words, len(of))
+    least = np.lib.stride_tricks.sliding_window_view(of, words).min(axis=1)
+    # the greatest of the least ones of all windows that a place is in
+    around = np.full(len(of) + words - 1, -np.inf)
+    around[words - 1 : words - 1 + len(least)] = least
+    most = np.lib.stride_tricks.sliding_window_view(around, words).max(axis=1)
+    return keep | first & (weight <= most[at])
+
+
+def rare_seeds(seeds: DataFrame, bench: DataFrame, counts: DataFrame, rare_share: float, rare_docs: int, min_cover: float, long_match: int) -> DataFrame:
+    """gram, no of those seeds(no, first, at, gram) of bench(no, words) to search for, by counts(gram, n) of documents."""
+    total = counts.where("gram is null").agg(F.max("n")).first()[0] or 0
+    limit = max(float(rare_docs), rare_share * total)
+    held = seeds.groupBy("gram").agg(F.countDistinct("no").alias("items"))
+    weight = held.join(counts, "gram", "left").select("gram", (F.col("items") * F.coalesce("n", F.lit(0))).cast("double").alias("weight"))
+    by_item = seeds.join(weight, "gram").groupBy("no").agg(F.sort_array(F.collect_list(F.struct("at", "first", "weight", "gram"))).alias("seeds"))
+    sized = by_item.join(bench.select("no", (F.octet_length("words") / 8).cast("long").alias("size")), "no")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for no, own, size in zip(*(c.to_pylist() for c in batch.columns)):
+                least = least_matches(size, min_cover, long_match)
+                at, first, weights, grams = (np.array([s[c] for s in own], kind) for c, kind in (("at", np.int64), ("first", bool), ("weight", float), ("gram", np.int64)))
+                kept = np.unique(grams[rare_places(at, weights, first, least - shapes_of(least)[0][-1], limit)])
+                yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(np.full(len(kept), no))], ["gram", "no"])
+
+    return sized.select("no", "seeds", "size").mapInArrow(choose, "gram long, no long")
+
+
+def _documents_with(docs: DataFrame, seeds: SeedFilter, shapes: list[tuple[int, ...]]) -> DataFrame:
+    """k, words (hashes, eight bytes each) and grams (those that pass the filter, each once) of documents(k, t) that have any."""
+    kind = docs.schema["k"].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            places, texts, grams = [], [], []
+            for place, t in enumerate(batch.column(1)):
+                own = words(t.as_py())
+                found = np.unique(seeds.hits(_every_gram(own, shapes)))
+                if len(found):
+                    places.append(place)
+                    texts.append(own.tobytes())
+                    grams.append(found.view(np.int64))
+            columns = [batch.column(0).take(pa.array(places, pa.int64())), pa.array(texts, pa.binary()), pa.array(grams, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "words", "grams"])
+
+    return docs.select("k", "t").mapInArrow(scan, f"k {kind}, words binary, grams array<long>")
+
+
+def _leaks_of_pairs(pairs: DataFrame, min_cover: float, min_similarity: float, long_match: int) -> DataFrame:
+    """k and LEAKS of pairs(k, words, items), items being (no, words) of the items to align with the row."""
+    fields = [x.rsplit(" ", 1) for x in LEAKS.split(", ")]
+    kind = pairs.schema["k"].dataType.simpleString()
+
+    def aligned(rows: list[tuple[int, np.ndarray, dict]]) -> list[tuple]:
+        known = {no: w for _, _, own in rows for no, w in own.items()}
+        number = {no: i for i, no in enumerate(known)}
+        items = [(no, w, set(w.tolist())) for no, w in known.items()]
+        seeds = all_seeds([x[:2] for x in items], min_cover, long_match)
+        tables = {shape: SeedTable(np.fromiter(of, U, len(of))) for shape, of in seeds.items()}
+        wanted = [{number[no] for no in own} for _, _, own in rows]
+        found = leaks_in([w for _, w, _ in rows], items, seeds, tables, min_cover, min_similarity, long_match, wanted)
+        return [(place, items[k][0], *rest) for (place, _, _), own in zip(rows, found) for k, *rest in own]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, rows, size = [], [], 0
+            for place in range(batch.num_rows):
+                items = {x["no"]: np.frombuffer(x["words"], U) for x in batch.column(2)[place].as_py()}
+                rows.append((place, np.frombuffer(batch.column(1)[place].as_py(), U), items))
+                size += len(rows[-1][1])
+                if size > 200_000 or place == batch.num_rows - 1:  # so many words are held at a time
+                    out += aligned(rows)
+                    rows, size = [], 0
+            columns = [pa.array(c, pa.float64() if kind == "double" else pa.int64()) for c, (_, kind) in zip(list(zip(*out))[1:] if out else [[]] * len(fields), fields)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in out], pa.int64())), *columns], ["k", *(f for f, _ in fields)])
+
+    return pairs.select("k", "words", "items").mapInArrow(scan, f"k {kind}, {LEAKS}")
+
+
+def _item_words(items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """no, i, words (hashes, eight bytes each) of every item that has words, as a stored table."""
+    kind = items.schema[item_key].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["i", "words"])
+
+    own = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).mapInArrow(cut, f"i {kind}, words binary")
+    return stash(own.where("octet_length(words) > 0").select(F.monotonically_increasing_id().alias("no"), "i", "words"), "leak-items")
 
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, min_cover: float = 0.4,
-    min_similarity: float = 0.6, long_match: int = 25, block_seeds: int = 500_000, key: str = "doc_id", text: str = "text",
-    item_key: str = "item_id", item_text: str = "text",
+    min_similarity: float = 0.6, long_match: int = 25, block_seeds: int = 2_000_000, key: str = "doc_id", text: str = "text",
+    item_key: str = "item_id", item_text: str = "text", rare_share: float = 0.01, rare_docs: int = 100,
 ) -> DataFrame:
     """key, item_id, matches, item_from, item_to, item_words, doc_from, doc_to, cover, similarity per leak: the best
     passage of each row and item. Places count words, ends exclusive.
 
     cover: matching words over the item's words; similarity: matching words over the longer of the two aligned parts.
+    A seed is rare if the documents times the items that hold it are at most rare_share of all documents, or rare_docs.
     Items and texts that are null or without words are in no leak. Of leaks of one item with equally many matches the
     first in the text is given. Repeated rows have results each; null keys are kept. Empty tables give an empty table.
     Texts of any length are searched whole; other columns are left out.
     """
-    spark, words = docs.sparkSession, Words()
-    size = items.agg(F.sum(F.size(F.split(item_text, r"\s+")).cast("long"))).first()[0] or 0
-    blocks = 1 + 3 * size // block_seeds  # three seeds a word at most
-    parted = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    out = []
-    for b in range(blocks):
-        block = parted.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else parted
-        own = [(r["i"], w) for r in block.orderBy("i", "t").collect() if len(w := words(r["t"]))]
-        seeds = all_seeds(own, min_cover, long_match)
-        names = spark.createDataFrame(
-            [(k, i) for k, (i, _) in enumerate(own)], f"item_no long, {item_key} {items.schema[item_key].dataType.simpleString()}"
-        )
-        found = _leaks_in(docs, own, seeds, min_cover, min_similarity, long_match, key, text)
-        out.append(found.join(F.broadcast(names), "item_no"))  # one row for each item of the block
-    found = reduce(DataFrame.unionByName, out)
-    return found.select(
+    how = min_cover, min_similarity, long_match
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    bench = _item_words(items, item_key, item_text)
+    seeds = stash(_item_seeds(bench, min_cover, long_match), "leak-seeds")
+    # from some length on all items have the same shapes
+    sizes = bench.select(F.least(F.octet_length("words") / 8, F.lit(math.ceil(3 / min_cover))).cast("int").alias("n")).distinct().collect()
+    shapes = sorted({shape for r in sizes for shape in shapes_of(least_matches(r["n"], min_cover, long_match))}) or [(0,)]
+    counts = stash(_document_counts(rows, seed_filter(seeds, block_seeds), shapes), "leak-counts")
+    rare = stash(rare_seeds(seeds, bench, counts, rare_share, rare_docs, min_cover, long_match), "leak-rare")
+    hit = _documents_with(rows, seed_filter(rare, block_seeds), shapes)
+    hit = stash(hit.select(F.monotonically_increasing_id().alias("id"), "k", "words", "grams"), "leak-documents")
+    met = hit.select("id", F.explode("grams").alias("gram")).join(rare, "gram").select("id", "no").distinct()
+    # a list holds some 256 items, however many a document meets
+    many = met.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / 256).alias("parts"))
+    lists = met.join(many, "id").join(bench.select("no", "words"), "no").groupBy("id", F.pmod(F.xxhash64("no"), "parts").alias("part"))
+    lists = lists.agg(F.collect_list(F.struct("no", "words")).alias("items")).select("id", "items")
+    found = _leaks_of_pairs(hit.select("id", "k", "words").join(lists, "id"), *how)
+    return found.join(bench.select(F.col("no").alias("item_no"), F.col("i").alias(item_key)), "item_no").select(
         F.col("k").alias(key), item_key, "matches", "item_from", "item_to", "item_words", "doc_from", "doc_to", "cover", "similarity"
     )
 
