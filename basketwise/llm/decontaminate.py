@@ -1,16 +1,17 @@
 """Benchmark decontamination: rare seeds of words joined to the items that hold them, then Smith-Waterman alignment of words.
 
 Every three words of a benchmark item, next to each other or with one left out, are a seed (fewer words where fewer are
-a leak). A first pass over the documents counts how many hold each seed. A seed is rare where these documents times the items
-that hold it are few; common seeds go, but for the rarest one of every stretch of an item that has the words a leak needs,
-so an exact copy of such a stretch always holds a seed that is kept, however common its words are.
+a leak). One scan of the documents keeps those with a seed, as hashes of their words. How many hold each seed is counted from these.
+A seed is rare where these documents times the items that hold it are few; common seeds go, but for the rarest one of every
+stretch of an item that has the words a leak needs, so an exact copy of such a stretch always holds a seed that is kept,
+however common its words are.
 
-A second pass keeps documents with kept seeds, which are joined with the items by seed. Each pair is then looked at whole:
-hits of all seeds of the item, common ones too, that lie close together are one passage; the passage, with as many words
-around it as the item could reach, is aligned with the item by Smith-Waterman over words, unless fewer of its words are the
-item's than a leak needs. A leak is an aligned passage that is similar enough and covers enough of the item, or is long.
+Documents are joined with the items by the seeds that are left. Each pair is then looked at whole: hits of all seeds of the
+item, common ones too, that lie close together are one passage; the passage, with as many words around it as the item could
+reach, is aligned with the item by Smith-Waterman over words, unless fewer of its words are the item's than a leak needs. A
+leak is an aligned passage that is similar enough and covers enough of the item, or is long.
 
-Documents are scanned twice whatever the size of the benchmark. What is sent to the tasks is a Bloom filter of at most
+Documents are scanned once whatever the size of the benchmark. What is sent to the tasks is a Bloom filter of at most
 32 * block_seeds bytes, built by Spark; the join tells hits from chance. Texts without a hit are never written or shuffled.
 """
 
@@ -134,9 +135,11 @@ class SeedFilter:
         self.masks[places] = masks
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
-        """Those of the grams that may be seeds, all seeds among them."""
-        mask = _mask_of(grams)
-        return grams[self.masks[(grams >> self.shift).astype(np.int64)] & mask == mask]
+        """Places of the grams that may be seeds, all seeds among them."""
+        own = self.masks[(grams >> self.shift).astype(np.int64)]
+        at = np.flatnonzero(own)
+        mask = _mask_of(grams[at])
+        return at[own[at] & mask == mask]
 
 
 def _mask_of(grams: np.ndarray) -> np.ndarray:
@@ -282,10 +285,6 @@ def leaks_of(own: np.ndarray, *how) -> list[tuple]:
     return leaks_in([own], *how)[0]
 
 
-def _every_gram(words: np.ndarray, shapes: list[tuple[int, ...]]) -> np.ndarray:
-    return np.concatenate([grams_of(words, shape) for shape in shapes])
-
-
 def _item_seeds(bench: DataFrame, min_cover: float, long_match: int) -> DataFrame:
     """no, first (whether the seed is of the item's first shape), at, gram of every seed of bench(no, words)."""
 
@@ -301,26 +300,6 @@ def _item_seeds(bench: DataFrame, min_cover: float, long_match: int) -> DataFram
     return bench.select("no", "words").mapInArrow(cut, "no long, first boolean, at long, gram long")
 
 
-def _document_counts(docs: DataFrame, seeds: SeedFilter, shapes: list[tuple[int, ...]]) -> DataFrame:
-    """gram, n: how many documents hold each gram that passes the filter; n of the gram null is the number of all documents."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            part, size = [], 0
-            for place, t in enumerate(batch.column(0)):
-                grams = seeds.hits(_every_gram(words(t.as_py()), shapes))
-                part.append(np.unique(grams))
-                size += len(part[-1])
-                if size > 200_000 or place == batch.num_rows - 1:  # so many grams are held at a time
-                    grams, n = np.unique(np.concatenate(part), return_counts=True)
-                    columns = [pa.array([None, *grams.view(np.int64).tolist()], pa.int64()), pa.array([len(part), *n.tolist()], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["gram", "n"])
-                    part, size = [], 0
-
-    return docs.select("t").mapInArrow(scan, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def rare_places(at: np.ndarray, weight: np.ndarray, first: np.ndarray, words: int, limit: float) -> np.ndarray:
     """Which seeds of an item to keep: those of at most limit, and of those of the first shape the rarest ones of every
     `words` places next to each other, all that are equally rare."""
@@ -336,10 +315,9 @@ def rare_places(at: np.ndarray, weight: np.ndarray, first: np.ndarray, words: in
     return keep | first & (weight <= most[at])
 
 
-def rare_seeds(seeds: DataFrame, bench: DataFrame, counts: DataFrame, rare_share: float, rare_docs: int, min_cover: float, long_match: int) -> DataFrame:
-    """gram, no of those seeds(no, first, at, gram) of bench(no, words) to search for, by counts(gram, n) of documents."""
-    total = counts.where("gram is null").agg(F.max("n")).first()[0] or 0
-    limit = max(float(rare_docs), rare_share * total)
+def rare_seeds(seeds: DataFrame, bench: DataFrame, counts: DataFrame, limit: float, min_cover: float, long_match: int) -> DataFrame:
+    """gram, no of those seeds(no, first, at, gram) of bench(no, words) to search for: those of which counts(gram, n) of documents
+    times items are at most limit, and the rarest ones."""
     held = seeds.groupBy("gram").agg(F.countDistinct("no").alias("items"))
     weight = held.join(counts, "gram", "left").select("gram", (F.col("items") * F.coalesce("n", F.lit(0))).cast("double").alias("weight"))
     by_item = seeds.join(weight, "gram").groupBy("no").agg(F.sort_array(F.collect_list(F.struct("at", "first", "weight", "gram"))).alias("seeds"))
@@ -356,23 +334,44 @@ def rare_seeds(seeds: DataFrame, bench: DataFrame, counts: DataFrame, rare_share
     return sized.select("no", "seeds", "size").mapInArrow(choose, "gram long, no long")
 
 
-def _documents_with(docs: DataFrame, seeds: SeedFilter, shapes: list[tuple[int, ...]]) -> DataFrame:
+def seeds_in(texts: list[np.ndarray], seeds: SeedFilter, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+    """The grams of each document's words that pass the filter, each once. Documents are looked at side by side."""
+    ends = np.cumsum([len(t) for t in texts])
+    words = np.concatenate(texts)
+    doc, found = [], []
+    for shape in shapes:
+        grams = grams_of(words, shape)
+        at = seeds.hits(grams)
+        of = np.searchsorted(ends, at, "right")
+        inside = at + shape[-1] < ends[of]  # a gram of one document only
+        doc.append(of[inside])
+        found.append(grams[at[inside]])
+    doc, found = np.concatenate(doc), np.concatenate(found)
+    order = np.lexsort((found, doc))
+    doc, found = doc[order], found[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])
+    doc, found = doc[new], found[new]
+    return np.split(found, np.searchsorted(doc, np.arange(1, len(texts))))
+
+
+def documents_with(docs: DataFrame, seeds: SeedFilter, shapes: list[tuple[int, ...]]) -> DataFrame:
     """k, words (hashes, eight bytes each) and grams (those that pass the filter, each once) of documents(k, t) that have any."""
     kind = docs.schema["k"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            places, texts, grams = [], [], []
+            part, size, begin = [], 0, 0
             for place, t in enumerate(batch.column(1)):
-                own = words(t.as_py())
-                found = np.unique(seeds.hits(_every_gram(own, shapes)))
-                if len(found):
-                    places.append(place)
-                    texts.append(own.tobytes())
-                    grams.append(found.view(np.int64))
-            columns = [batch.column(0).take(pa.array(places, pa.int64())), pa.array(texts, pa.binary()), pa.array(grams, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "words", "grams"])
+                part.append(words(t.as_py()))
+                size += len(part[-1])
+                if size > 200_000 or place == batch.num_rows - 1:  # so many words are held at a time
+                    own = [(begin + i, w.tobytes(), g.view(np.int64)) for i, (w, g) in enumerate(zip(part, seeds_in(part, seeds, shapes))) if len(g)]
+                    places, texts, grams = zip(*own) if own else ((), (), ())
+                    columns = [batch.column(0).take(pa.array(places, pa.int64())), pa.array(texts, pa.binary()), pa.array(grams, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["k", "words", "grams"])
+                    part, size, begin = [], 0, place + 1
 
     return docs.select("k", "t").mapInArrow(scan, f"k {kind}, words binary, grams array<long>")
 
@@ -442,11 +441,13 @@ def find_leaks(
     # from some length on all items have the same shapes
     sizes = bench.select(F.least(F.octet_length("words") / 8, F.lit(math.ceil(3 / min_cover))).cast("int").alias("n")).distinct().collect()
     shapes = sorted({shape for r in sizes for shape in shapes_of(least_matches(r["n"], min_cover, long_match))}) or [(0,)]
-    counts = stash(_document_counts(rows, seed_filter(seeds, block_seeds), shapes), "leak-counts")
-    rare = stash(rare_seeds(seeds, bench, counts, rare_share, rare_docs, min_cover, long_match), "leak-rare")
-    hit = _documents_with(rows, seed_filter(rare, block_seeds), shapes)
+    hit = documents_with(rows, seed_filter(seeds, block_seeds), shapes)
     hit = stash(hit.select(F.monotonically_increasing_id().alias("id"), "k", "words", "grams"), "leak-documents")
-    met = hit.select("id", F.explode("grams").alias("gram")).join(rare, "gram").select("id", "no").distinct()
+    each = hit.select("id", F.explode("grams").alias("gram"))
+    counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    limit = max(float(rare_docs), rare_share * docs.count())
+    rare = stash(rare_seeds(seeds, bench, counts, limit, min_cover, long_match), "leak-rare")
+    met = each.join(rare, "gram").select("id", "no").distinct()
     # a list holds some 256 items, however many a document meets
     many = met.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / 256).alias("parts"))
     lists = met.join(many, "id").join(bench.select("no", "words"), "no").groupBy("id", F.pmod(F.xxhash64("no"), "parts").alias("part"))

@@ -13,8 +13,9 @@ def kept_seeds(docs, bench, rare_docs):
     rows = docs.selectExpr("doc_id as k", "text as t")
     own = decontaminate._item_words(bench, "item_id", "text")
     seeds = decontaminate._item_seeds(own, COVER, LONG)
-    counts = decontaminate._document_counts(rows, decontaminate.seed_filter(seeds, 1000), list(decontaminate.shapes_of(9)))
-    return own, seeds, counts, decontaminate.rare_seeds(seeds, own, counts, 0.01, rare_docs, COVER, LONG)
+    hit = decontaminate.documents_with(rows, decontaminate.seed_filter(seeds, 1000), list(decontaminate.shapes_of(9)))
+    counts = hit.selectExpr("explode(grams) as gram").groupBy("gram").count().withColumnRenamed("count", "n")
+    return seeds, counts, decontaminate.rare_seeds(seeds, own, counts, rare_docs, COVER, LONG)
 
 
 def history(r, common, items, n):
@@ -50,9 +51,8 @@ def test_common_seeds_go(spark):
     items = [" ".join([word(r) for _ in range(12)] + common + [word(r) for _ in range(12)]) for _ in range(5)]
     docs = spark.createDataFrame(history(r, common, items, 400), "doc_id long, text string").repartition(5)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    _, seeds, counts, rare = kept_seeds(docs, bench, 20)
+    seeds, counts, rare = kept_seeds(docs, bench, 20)
     n = {x["gram"]: x["n"] for x in counts.collect()}
-    assert n[None] == 400
     shared = set(decontaminate.grams_of(decontaminate.Words()(" ".join(common)), (0, 1, 2)).view(np.int64).tolist())
     assert {n[g] for g in shared} == {400}
     left = {x["gram"] for x in rare.collect()}
@@ -93,7 +93,7 @@ def test_documents_that_hold_the_benchmark(spark):
     assert sorted((x["doc_id"], x["item_id"]) for x in rows) == [(1, i) for i in range(700)] + [(2, 5)]
 
 
-def test_documents_are_scanned_twice(spark):
+def test_documents_are_scanned_once(spark):
     """Whatever the number of seeds."""
     r = random.Random(9)
     items = [" ".join(word(r) for _ in range(40)) for _ in range(50)]
@@ -105,6 +105,22 @@ def test_documents_are_scanned_twice(spark):
             read.add(len(b))
             yield b
 
+    # to count the rows asks for them once more, without their texts where they are in files
     docs = docs.mapInPandas(count, docs.schema)
     assert decontaminate.find_leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), block_seeds=60).count() == 0
-    assert read.value == 80
+    assert read.value == 80  # the scan and the count
+
+
+def test_grams_stay_in_their_document():
+    r = random.Random(3)
+    texts = [np.array([r.randrange(6) * 2 + 1 for _ in range(r.choice([0, 0, 1, 2, 3, 9]))], np.uint64) for _ in range(200)]
+    shapes = list(decontaminate.shapes_of(9))
+    seeds = np.unique(np.concatenate([decontaminate.grams_of(t, s) for t in texts[:60] for s in shapes]))
+    mask = decontaminate._mask_of(seeds)
+    places, masks = (seeds >> np.uint64(52)).astype(np.int64), np.zeros(1 << 12, np.uint64)
+    np.bitwise_or.at(masks, places, mask)
+    table = decontaminate.SeedFilter(np.arange(1 << 12), masks, 12)
+    for t, own in zip(texts, decontaminate.seeds_in(texts, table, shapes), strict=True):
+        grams = np.unique(np.concatenate([decontaminate.grams_of(t, s) for s in shapes]))
+        assert own.tolist() == grams[table.hits(grams)].tolist()
+        assert set(own) >= set(grams) & set(seeds)
