@@ -19,7 +19,7 @@ import re
 import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +37,8 @@ GAMMA = 1.5
 #: What str.split() takes for a blank beside " \t\n\r".
 OTHER_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\r"]
 END_MARKS = frozenset(",.;:!?")
+#: Texts whose words are looked up at a time: few enough that they stay in the processor's cache.
+TEXTS = 150
 #: Words whose ids a worker keeps, in each of two generations.
 KEPT = 400_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -192,9 +194,16 @@ class WordEncoder:
         lowered = unicodedata.normalize("NFC", word).lower()
         return lowered.isalpha() and max(lowered) < "\u0530" and word.isalpha()
 
+    def plain_of(self, words: Iterable[str]) -> set[str]:
+        """Those of words that are plain; what needs no look at single letters is told first."""
+        letters = set(filter(str.isalpha, words))
+        found = set(filter(str.isascii, letters))
+        found.update(filter(self.plain, letters - found))
+        return found
+
     def ask(self, words: list[str]) -> None:
         for word, found in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
-            self.kept[word] = np.array(found.ids, "<u4").tobytes()
+            self.kept[word] = struct.pack(f"<{len(ids := found.ids)}I", *ids)
 
     def ask_letters(self, words: list[str]) -> None:
         """Plain words are one piece each, and its last id tells where it ends: they are encoded in one text."""
@@ -220,13 +229,15 @@ class WordEncoder:
         for w in again:
             known[w] = older[w]
         new -= again
-        ends = {w for w in new if w[-1:] in END_MARKS and self.plain(w[:-1])}
-        pieces = (new - ends) | {p for w in ends for p in (w[:-1], w[-1]) if p not in known}
-        letters = {w for w in pieces if self.plain(w)}
-        self.ask_letters(sorted(letters))
-        self.ask(sorted(pieces - letters))
-        for w in ends:
-            known[w] = known[w[:-1]] + known[w[-1]]
+        letters = self.plain_of(new)
+        marked = {w: w[:-1] for w in new - letters if w[-1:] in END_MARKS}
+        before_mark = self.plain_of(marked.values())
+        ends = [(w, head) for w, head in marked.items() if head in before_mark]
+        others = new.difference(letters, (w for w, _ in ends)) | {w[-1] for w, _ in ends if w[-1] not in known}
+        self.ask_letters(list(letters | before_mark.difference(known)))
+        self.ask(list(others))
+        for w, head in ends:
+            known[w] = known[head] + known[w[-1]]
         return [b"".join(map(known.__getitem__, words)) for words in cut]
 
 
@@ -270,8 +281,8 @@ def write_shards(
 
         def encoded():
             for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
+                for at in range(0, batch.num_rows, TEXTS):
+                    part = batch.slice(at, TEXTS)
                     ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
                     yield from zip(part.column(0).to_pylist(), (b + tail for b in ids))
 
