@@ -36,7 +36,8 @@ HEAD = struct.Struct("<8sIIIIIIIQ")  # magic, task, shard of the task, bytes an
 GAMMA = 1.5
 #: What str.split() takes for a blank beside " \t\n\r".
 OTHER_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\r"]
-END_MARKS = frozenset(",.;:!?")
+#: Marks that end a word in one piece, however many they are.
+END_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Texts whose words are looked up at a time: few enough that they stay in the processor's cache.
 TEXTS = 150
 #: Words whose ids a worker keeps, in each of two generations.
@@ -169,7 +170,7 @@ class WordEncoder:
     """Ids of texts by the tokenizers library, asked once for each run of non-blanks.
 
     White space parts the pieces of such a vocabulary (its pattern never matches across), so the ids of a text are
-    those of its words in a row; a mark at the end of a run of letters is a piece of its own, if the letters are still
+    those of its words in a row; marks at the end of a run of letters are a piece of their own, if the letters are still
     letters once the library has normalised them (see plain). Words not yet known are encoded a batch at a time.
     """
 
@@ -230,14 +231,14 @@ class WordEncoder:
             known[w] = older[w]
         new -= again
         letters = self.plain_of(new)
-        marked = {w: w[:-1] for w in new - letters if w[-1:] in END_MARKS}
+        marked = {w: head for w in new - letters if len(head := w.rstrip(END_MARKS)) < len(w)}
         before_mark = self.plain_of(marked.values())
-        ends = [(w, head) for w, head in marked.items() if head in before_mark]
-        others = new.difference(letters, (w for w, _ in ends)) | {w[-1] for w, _ in ends if w[-1] not in known}
+        ends = [(w, head, w[len(head) :]) for w, head in marked.items() if head in before_mark]
+        others = new.difference(letters, (w for w, _, _ in ends)) | {marks for _, _, marks in ends if marks not in known}
         self.ask_letters(list(letters | before_mark.difference(known)))
         self.ask(list(others))
-        for w, head in ends:
-            known[w] = known[head] + known[w[-1]]
+        for w, head, marks in ends:
+            known[w] = known[head] + known[marks]
         return [b"".join(map(known.__getitem__, words)) for words in cut]
 
 
