@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from basketwise.functions.scoring import round_conf, wilson_lower
 from basketwise.operators.mining import rules_at
-from basketwise.sources.baskets import touching
+from basketwise.sources.baskets import numbered, touching
+
+#: Rules at floor and support that are sent to all tasks; more of them are joined.
+FEW_RULES = 10_000
 
 
 def find_holes(
@@ -18,16 +21,41 @@ def find_holes(
     """change_set_id, hole, trigger, confidence, raw, co, n: expected companions that a change set lacks, best trigger
     of each. Floors compare the unrounded confidence; ties go to the higher unrounded one, then the lesser trigger.
 
-    Rules are cut to floor and support before they join. min_confidence may be a column of change_sets.
+    Rules are cut to floor and support before they join, and worked out once. min_confidence may be a column of change_sets.
     """
+    floor = min_confidence if isinstance(min_confidence, Column) else None
+    good = rules_at(rules, 0.0 if floor is not None else min_confidence, min_support)
+    good = numbered(good, F.desc("confidence"), F.desc("raw"), "trigger", name="_rank")  # of two rules for one hole the lesser rank is better
+    if good.count() <= FEW_RULES:
+        return _holes_of_sets(good, change_sets, floor, by)
+    return _holes_of_inputs(good.drop("_rank"), change_sets, floor, by)
+
+
+def _holes_of_sets(good: DataFrame, change_sets: DataFrame, floor: Column | None, by: Sequence[str]) -> DataFrame:
+    """find_holes with few rules: each change set comes together once, and what its entities expect is made, cut and reduced where it
+    lies. Only change sets are shuffled."""
+    keys = [*by, "change_set_id"]
+    known = good.select(*by, F.col("trigger").alias("entity")).union(good.select(*by, "companion")).distinct().withColumn("_in_rules", F.lit(True))
+    told = change_sets.join(F.broadcast(known), [*by, "entity"], "left")  # all rows of a set count for its floor
+    present = F.collect_set(F.when(F.col("_in_rules"), F.col("entity"))).alias("_present")
+    sets = told.groupBy(*keys).agg(present, *([F.max(floor).alias("_floor")] if floor is not None else []))
+    short = good.select(*by, "trigger", "companion", F.col("raw").alias("_raw"), "_rank")
+    expected = sets.withColumn("trigger", F.explode("_present")).join(F.broadcast(short), [*by, "trigger"])
+    missing = expected.where(~F.array_contains("_present", F.col("companion")))
+    if floor is not None:
+        missing = missing.where(F.col("_raw") >= F.col("_floor"))
+    best = missing.groupBy(*keys, "companion").agg(F.min("_rank").alias("_rank"))
+    return best.join(F.broadcast(good.drop(*by, "companion")), "_rank").drop("_rank").withColumnRenamed("companion", "hole")
+
+
+def _holes_of_inputs(good: DataFrame, change_sets: DataFrame, floor: Column | None, by: Sequence[str]) -> DataFrame:
+    """find_holes with any number of rules, by joins."""
     inputs = change_sets.select(*by, "change_set_id", "entity").distinct()
-    if isinstance(min_confidence, Column):
-        floors = change_sets.select(*by, "change_set_id", min_confidence.alias("_floor")).groupBy(*by, "change_set_id").agg(F.max("_floor").alias("_floor"))
-        good = rules_at(rules, 0.0, min_support)
+    if floor is not None:
+        floors = change_sets.select(*by, "change_set_id", floor.alias("_floor")).groupBy(*by, "change_set_id").agg(F.max("_floor").alias("_floor"))
         matched = inputs.join(floors, [*by, "change_set_id"]).withColumnRenamed("entity", "trigger").join(good, [*by, "trigger"])
         matched = matched.where(F.col("raw") >= F.col("_floor")).drop("_floor")
     else:
-        good = rules_at(rules, min_confidence, min_support)
         matched = inputs.withColumnRenamed("entity", "trigger").join(good, [*by, "trigger"])
     present = inputs.withColumnRenamed("entity", "companion")
     missing = matched.join(present, [*by, "change_set_id", "companion"], "left_anti")

@@ -43,7 +43,7 @@ def pair_examples(tx: DataFrame, k: int = 10, by: Sequence[str] = ()) -> DataFra
 def pairs_with_examples(tx: DataFrame, k: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """entity_a, entity_b, co, recent (seq and id, newest first) and examples (ids)."""
     keys = [*by, "entity_a", "entity_b"]
-    both = pair_counts(tx, by).join(pair_examples(tx, k, by), keys)
+    both = pair_counts(tx, by).join(pair_examples(tx, k, by), keys, "left")  # so examples that nobody reads aren't made
     return both.withColumn("examples", F.transform("recent", lambda x: x["tx_id"]))
 
 

@@ -14,35 +14,42 @@ from basketwise.functions.scoring import is_eligible_source
 from basketwise.sources.baskets import clean_transactions, history_window
 
 
-def collapse_units(units: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Units with the same id in one version (overloads, parts) as one text, whatever their order."""
-    return units.groupBy(*by, "seq", "entity", "side", "unit_id").agg(
-        F.array_join(F.array_sort(F.collect_list("text")), "\0").alias("text")
+def _compared(units: DataFrame, by: Sequence[str]) -> DataFrame:
+    """changed_units, the units of each version wherever they are."""
+    on, is_side = [*by, "seq", "entity"], lambda s: F.coalesce(F.col("side") == s, F.lit(False))
+    count = lambda s: F.count(F.when(is_side(s), F.col("text")))
+    # equal texts of the sides are counted against each other, so texts are neither gathered nor joined
+    texts = units.groupBy(*on, "unit_id", "text").agg(
+        count("before").alias("b"), count("after").alias("a"), F.max(is_side("before")).alias("_before"), F.max(is_side("after")).alias("_after")
     )
+    same = F.sum(F.abs(F.col("b") - F.col("a"))) == 0
+    no_text = (F.sum(F.col("b") + F.col("a")) == 1) & (F.sum(F.when(F.col("text") == "", F.col("b") + F.col("a")).otherwise(0)) == 1)  # none is like an empty one
+    sides = lambda f, name: f(F.max("_before"), F.max("_after")).alias(name)
+    both = texts.groupBy(*on, "unit_id").agg((same | no_text).alias("same"), sides(lambda b, a: b | a, "seen"), sides(lambda b, a: b & a, "stays"))
+    differs = F.col("seen") & ~(F.col("stays") & F.col("same"))
+    return both.groupBy(*on).agg(F.array_sort(F.collect_set(F.when(differs, F.col("unit_id")))).alias("units"))
 
 
 def changed_units(units: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """seq, entity, units: ids whose text differs between the sides, or that one side lacks. An absent side makes all
-    units of the other change; an edit without a changed unit has an empty array."""
-    own = collapse_units(units, by)
-    side = lambda s: own.where(F.col("side") == s).select(*by, "seq", "entity", "unit_id", F.col("text").alias(s), F.lit(True).alias(f"_{s}"))
-    on = [*by, "seq", "entity", "unit_id"]
-    named = side("before").where("unit_id is not null").join(side("after").where("unit_id is not null"), on, "full_outer")
-    differs = F.col("_before").isNull() | F.col("_after").isNull() | ~F.col("before").eqNullSafe(F.col("after"))
-    per = named.groupBy(*by, "seq", "entity").agg(F.array_sort(F.collect_set(F.when(differs, F.col("unit_id")))).alias("units"))
-    every = units.select(*by, "seq", "entity").distinct()
-    return every.join(per, [*by, "seq", "entity"], "left").withColumn("units", F.coalesce("units", F.array().cast("array<string>")))
+    units of the other change; an edit without a changed unit has an empty array. Units with the same id in one version (overloads,
+    parts) count as one text, whatever their order."""
+    return _compared(units.repartition(*by, "seq", "entity"), by)
 
 
-def unit_transactions(tx: DataFrame, units: DataFrame, config: MiningConfig, only_sources: bool = True, by: Sequence[str] = ()) -> DataFrame:
+def unit_transactions(
+    tx: DataFrame, units: DataFrame, config: MiningConfig, only_sources: bool = True, by: Sequence[str] = (), changed: DataFrame | None = None
+) -> DataFrame:
     """Transactions whose entities are the units changed in them: newest transactions of the window, those of 1 to cap
-    entities by the raw list, eligible entities, their changed units together, 1 to the unit cap of them."""
+    entities by the raw list, eligible entities, their changed units together, 1 to the unit cap of them. changed: changed_units of
+    these transactions at least, where they are known."""
     own = config.for_units()
     window = history_window(tx, own.history_window, by).where(F.size("entities").between(1, config.max_transaction_size))
     files = window.select(*by, "seq", F.explode(F.array_distinct("entities")).alias("entity"))
     if only_sources:
         files = files.where(is_eligible_source("entity"))
-    changed = changed_units(units.join(files, [*by, "seq", "entity"], "left_semi"), by)
+    on = [*by, "seq", "entity"]
+    changed = _compared(units.join(files, on, "left_semi"), by) if changed is None else changed.join(files, on, "left_semi")
     merged = changed.select(*by, "seq", F.explode("units").alias("unit")).groupBy(*by, "seq").agg(F.collect_set("unit").alias("entities"))
     labels = tx.select(*by, "seq", "tx_id", "label")
     return clean_transactions(labels.join(merged, [*by, "seq"]), own.max_transaction_size).drop("n_raw")
