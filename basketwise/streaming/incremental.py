@@ -122,10 +122,10 @@ def extend_index(index: Index, tx: DataFrame, new: DataFrame, contents: DataFram
 def delta_units(index: Index, new: DataFrame, versions: DataFrame) -> Index:
     """What the transactions `new` add to a unit index, with the locations of the units that they change."""
     by = list(index.by)
-    tx = unit_transactions(new, versions, replace(index.config, unit_history_window=0), by=by)
+    changed = written(changed_units(versions.join(new.select(*by, "seq"), [*by, "seq"], "left_semi"), by), "changed")
+    tx = written(unit_transactions(new, versions, replace(index.config, unit_history_window=0), by=by, changed=changed), "unit-transactions")
     config = replace(index.config, max_transaction_size=index.config.unit_max_transaction_size, history_window=0)
-    seen = changed_units(versions.join(new.select(*by, "seq"), [*by, "seq"], "left_semi"), by)
-    latest = entity_locations(unit_locations(seen, by), by).select(*by, "entity", "location")
+    latest = entity_locations(unit_locations(changed, by), by).select(*by, "entity", "location")
     return replace(delta_index(replace(index, config=config), tx, tx), config=index.config, locations=latest)
 
 
