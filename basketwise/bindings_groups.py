@@ -15,7 +15,7 @@ from basketwise.operators import lookup, mining, mutes
 from basketwise.plans import check
 from basketwise.plans.replay import ReplayConfig, replay, replay_coverage
 from basketwise.sources import baskets, store
-from basketwise.sources.scratch import new_path
+from basketwise.sources.scratch import new_path, written
 from basketwise.streaming import incremental
 
 WIDE = MiningConfig(max_transaction_size=100)
@@ -229,7 +229,7 @@ def grouped_facets_segment(spark, sf_dir):
 
 def _streamed(spark, rows, parts, config, by=()):
     """The index that a stream makes of rows, which come in so many batches in the order of seq."""
-    path, source = new_path(spark, "index"), new_path(spark, "source")
+    path, source, rows = new_path(spark, "index"), new_path(spark, "source"), written(rows, "rows")
     least, most = rows.agg(F.min("seq"), F.max("seq") + 1).first()
     for i in range(parts):
         low, high = (least + (most - least) * k // parts for k in (i, i + 1))

@@ -33,7 +33,7 @@ from pyspark.sql.utils import AnalysisException
 from basketwise.config import MiningConfig
 from basketwise.operators.mining import prune_labels
 from basketwise.sources.running import running_sum
-from basketwise.sources.scratch import lengths, listed, removed
+from basketwise.sources.scratch import lengths, listed, release, removed
 
 FORMAT = 2
 SECTIONS = ("counts", "pairs", "labels", "facet_stats", "facet_training", "locations", "heads", "group_resets", "facet_resets", "latest", "diffs", "touched")
@@ -77,6 +77,8 @@ class Index:
     diffs: DataFrame | None = None
     touched: DataFrame | None = None
     by: tuple[str, ...] = ()
+    #: These labels and what they were before pruning: where they are written, the pairs that are written prune them.
+    unpruned: tuple[DataFrame, DataFrame] | None = None
 
     @classmethod
     def of(cls, spark: SparkSession, counts: DataFrame, pairs: DataFrame, labels: DataFrame, by: Sequence[str] = (), **rest) -> Index:
@@ -172,8 +174,14 @@ def _write_level(index: Index, path: str) -> dict:
     name = uuid.uuid4().hex
     folder = f"{path}/levels/{name}"
     tables = {s: t for s in SECTIONS if (t := getattr(index, s)) is not None and t.columns}
+    write = lambda s: tables[s].write.parquet(f"{folder}/{s}")
+    write("pairs")
+    if index.unpruned is not None and index.unpruned[0] is index.labels:
+        tables["labels"] = prune_labels(index.unpruned[1], spark.read.schema(index.pairs.schema).parquet(f"{folder}/pairs"), index.by)
+    release(spark)
     with ThreadPoolExecutor(WRITERS) as pool:  # most sections are small, so their jobs run side by side
-        list(pool.map(lambda s: tables[s].write.parquet(f"{folder}/{s}"), tables))
+        list(pool.map(write, [s for s in tables if s != "pairs"]))
+    release(spark)
     sums = _checksums(spark, {s: spark.read.schema(t.schema).parquet(f"{folder}/{s}") for s, t in tables.items()})
     sections = {
         s: {"rows": sums[s][0], "sum": sums[s][1], "schema": t.schema.json(), "files": lengths(spark, f"{folder}/{s}")} for s, t in tables.items()
@@ -273,7 +281,8 @@ def append_level(delta: Index, path: str, ledger: Mapping[str, int] | None = Non
         size += rows(levels[start])
     if start < len(levels) - 1:
         merged = merge_levels([_read_level(spark, path, x, delta.config, by) for x in levels[start:]])
-        merged = replace(merged, labels=prune_labels(merged.labels, merged.pairs, by))
+        pruned = prune_labels(merged.labels, merged.pairs, by)
+        merged = replace(merged, labels=pruned, unpruned=(pruned, merged.labels))
         if start == 0:  # nothing older is left to reset
             merged = replace(merged, group_resets=None, facet_resets=None)
         levels = [*levels[:start], _write_level(merged, path)]

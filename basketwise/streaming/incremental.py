@@ -59,9 +59,10 @@ def build_index(tx: DataFrame, config: MiningConfig, contents: DataFrame | None
         training = facet_candidates(directed_rules(pairs, counts, by), config, by)
         diffs = content_diffs(contents, training, config, by)
         rest = {"facet_training": training, "facet_stats": facet_stats(facet_observations(diffs, training, all_tx, config.max_transaction_size, by), by)}
-    labels = prune_labels(own.select(*by, "tx_id", "label"), pairs, by)
+    every = own.select(*by, "tx_id", "label")
+    labels = prune_labels(every, pairs, by)
     heads = _heads(all_tx, own, by, counted)
-    return _single(Index.of(tx.sparkSession, counts, pairs, labels, by, heads=heads, config=config, **rest))
+    return _single(Index.of(tx.sparkSession, counts, pairs, labels, by, heads=heads, config=config, unpruned=(labels, every), **rest))
 
 
 def merge_counts(stored: DataFrame, delta: DataFrame) -> DataFrame:
@@ -82,7 +83,8 @@ def delta_index(index: Index, tx: DataFrame, new: DataFrame, contents: DataFrame
     config, by = index.config, list(index.by)
     own = clean_transactions(drop_merges(new), config.max_transaction_size)
     counts, pairs = entity_counts(own, by), pairs_with_examples(own, config.max_examples_per_pair, by)
-    labels = prune_labels(own.select(*by, "tx_id", "label"), pairs, by)
+    every = own.select(*by, "tx_id", "label")
+    labels = prune_labels(every, pairs, by)
     added = _heads(new, own, by, False)
     old = index.heads.select(*by, *[F.col(c).alias(f"_{c}") for c in ("head", "seq", "transactions", "counted")])
     both = added.join(old, by, "left") if by else added.join(F.broadcast(old), F.lit(True), "left")  # one row, or none before the first transaction
@@ -98,7 +100,7 @@ def delta_index(index: Index, tx: DataFrame, new: DataFrame, contents: DataFrame
         (F.col("transactions") + F.coalesce("_transactions", F.lit(0))).alias("transactions"), (grown if counted else before).alias("counted"),
     )
     heads = heads.where(F.col("head").isNotNull())
-    delta = Index.of(tx.sparkSession, counts, pairs, labels, by, heads=heads, config=config)
+    delta = Index.of(tx.sparkSession, counts, pairs, labels, by, heads=heads, config=config, unpruned=(labels, every))
     if contents is None:
         return delta
     total = merge_levels([index, delta])
@@ -154,6 +156,8 @@ def _side_by_side(parts: Sequence[Index]) -> Index:
         own = [t for p in parts if (t := getattr(p, name)) is not None]
         if own:
             tables[name] = reduce(DataFrame.unionByName, own)
+    if all(p.unpruned for p in parts):
+        tables["unpruned"] = (tables["labels"], reduce(DataFrame.unionByName, [p.unpruned[1] for p in parts]))
     return replace(parts[0], **tables)
 
 
@@ -273,11 +277,10 @@ def delta_unit_versions(index: Index, new: DataFrame) -> Index:
     versions = written(held.select(*by, "seq", "entity", F.to_json("_u").alias("content")), "units")
     pairs = _with_known(versions, index.latest, by)
 
-    def side(name: str) -> DataFrame:
-        rows = pairs.where(F.col(name).isNotNull()).select(*by, "seq", "entity", F.lit(name).alias("side"), F.inline_outer(F.from_json(name, UNITS)))
-        return rows.select(*by, "seq", "entity", "side", "unit_id", "text")
-
-    return replace(delta_units(index, new, side("before").unionByName(side("after"))), latest=_latest(versions, by))
+    sides = F.array(*[F.struct(F.lit(name).alias("side"), F.col(name).alias("held")) for name in ("before", "after")])
+    rows = pairs.select(*by, "seq", "entity", F.inline(sides)).where("held is not null")
+    rows = rows.select(*by, "seq", "entity", "side", F.inline_outer(F.from_json("held", UNITS)))
+    return replace(delta_units(index, new, rows.select(*by, "seq", "entity", "side", "unit_id", "text")), latest=_latest(versions, by))
 
 
 def count_batch(batch: DataFrame, number: int, stream: str, path: str, config: MiningConfig, by: Sequence[str] = ()) -> bool:
