@@ -20,11 +20,13 @@ def ordpart(spark, sf_dir):
     return baskets.assemble_transactions(rows, ["l_orderkey"], "part", ["l_orderkey"])
 
 
-def _grown(spark, tx, shares):
-    """The path of an index that was updated with the given shares of a history one after the other."""
+def _grown(spark, tx, shares, vacuumed=False):
+    """The path of an index that was updated with the given shares of a history one after the other, and vacuumed each time."""
     path, total = new_path(spark, "index"), tx.count()
     for share in shares:
         incremental.update_index(spark, path, tx.where(F.col("seq") < total * share // 100), WIDE)
+        if vacuumed:
+            store.vacuum(spark, path, 1, 0)
     return path
 
 
@@ -43,8 +45,7 @@ def index_levels_ordpart(spark, sf_dir):
 @query(f"WITH {ORDPART} SELECT entity_a, entity_b, co, 1 AS levels, 1 AS folders FROM pairs")
 def compacted_index_ordpart(spark, sf_dir):
     """S3: updates of like size become one level, and nothing but that is left after vacuum."""
-    path = _grown(spark, ordpart(spark, sf_dir), (40, 60, 80, 100))
-    store.vacuum(spark, path, 1, 0)
+    path = _grown(spark, ordpart(spark, sf_dir), (40, 60, 80, 100), vacuumed=True)
     levels = store.index_levels(spark, path).select("level").distinct().count()
     pairs = store.read_index(spark, path, WIDE, verify="content").pairs
     return pairs.select("entity_a", "entity_b", "co", F.lit(levels).alias("levels"), F.lit(len(listed(spark, f"{path}/levels"))).alias("folders"))

@@ -40,6 +40,8 @@ SECTIONS = ("counts", "pairs", "labels", "facet_stats", "facet_training", "locat
 IGNORES = "trigger string, hole string, until_trigger_changes long, created_at timestamp, note string"
 #: Sections that are written at once.
 WRITERS = 4
+#: Pairs of levels that are made one at a time, while that takes no more than so many rounds.
+ROUND_ROWS, MOST_ROUNDS = 1_000_000, 4
 #: Seconds after which a commit that was begun and not finished is taken for given up.
 UNFINISHED = 600
 HEADS = "head string, seq long, transactions long, counted array<struct<after:bigint,upto:bigint>>"
@@ -168,17 +170,26 @@ def _schema(section: Mapping) -> StructType:
     return StructType.fromJson(json.loads(section["schema"]))
 
 
-def _write_level(index: Index, path: str) -> dict:
-    """A new level and its manifest."""
+def _with_examples(pairs: DataFrame) -> DataFrame:
+    """Stored pairs with the ids of their examples, which are those of recent."""
+    return pairs if "examples" in pairs.columns else pairs.withColumn("examples", F.transform("recent", lambda x: x["tx_id"]))
+
+
+def _write_level(index: Index, path: str, rounds: int = 1) -> dict:
+    """A new level and its manifest. Pairs are written in so many rounds by their first entity: what is shuffled at once is a part of them."""
     spark = index.counts.sparkSession
     name = uuid.uuid4().hex
     folder = f"{path}/levels/{name}"
     tables = {s: t for s in SECTIONS if (t := getattr(index, s)) is not None and t.columns}
-    write = lambda s: tables[s].write.parquet(f"{folder}/{s}")
-    write("pairs")
+    if "recent" in tables["pairs"].columns:  # the ids of examples stand there
+        tables["pairs"] = tables["pairs"].drop("examples")
+    write = lambda s: tables[s].write.option("compression", "zstd").parquet(f"{folder}/{s}")
+    for i in range(rounds):
+        some = tables["pairs"] if rounds == 1 else tables["pairs"].where(F.pmod(F.xxhash64("entity_a"), F.lit(rounds)) == i)
+        some.write.mode("append").option("compression", "zstd").parquet(f"{folder}/pairs")
+        release(spark)
     if index.unpruned is not None and index.unpruned[0] is index.labels:
-        tables["labels"] = prune_labels(index.unpruned[1], spark.read.schema(index.pairs.schema).parquet(f"{folder}/pairs"), index.by)
-    release(spark)
+        tables["labels"] = prune_labels(index.unpruned[1], _with_examples(spark.read.schema(tables["pairs"].schema).parquet(f"{folder}/pairs")), index.by)
     with ThreadPoolExecutor(WRITERS) as pool:  # most sections are small, so their jobs run side by side
         list(pool.map(write, [s for s in tables if s != "pairs"]))
     release(spark)
@@ -196,7 +207,7 @@ def _read_level(spark: SparkSession, path: str, level: Mapping, config: MiningCo
             tables[s] = spark.read.schema(_schema(m)).parquet(f"{path}/levels/{level['folder']}/{s}")
         elif s not in ("group_resets", "facet_resets"):  # an empty one of these would cost every reader a join
             tables[s] = spark.createDataFrame([], _schema(m))
-    return Index.of(spark, tables.pop("counts"), tables.pop("pairs"), tables.pop("labels"), by, config=config, **tables)
+    return Index.of(spark, tables.pop("counts"), _with_examples(tables.pop("pairs")), tables.pop("labels"), by, config=config, **tables)
 
 
 def _commit_numbers(spark: SparkSession, path: str) -> tuple[list[int], list[tuple[int, float]]]:
@@ -283,9 +294,11 @@ def append_level(delta: Index, path: str, ledger: Mapping[str, int] | None = Non
         merged = merge_levels([_read_level(spark, path, x, delta.config, by) for x in levels[start:]])
         pruned = prune_labels(merged.labels, merged.pairs, by)
         merged = replace(merged, labels=pruned, unpruned=(pruned, merged.labels))
+        rounds = min(MOST_ROUNDS, 1 + sum(x["sections"]["pairs"]["rows"] for x in levels[start:]) // ROUND_ROWS)
         if start == 0:  # nothing older is left to reset
             merged = replace(merged, group_resets=None, facet_resets=None)
-        levels = [*levels[:start], _write_level(merged, path)]
+        levels = [*levels[:start], _write_level(merged, path, rounds)]
+        removed(spark, f"{path}/levels/{made['folder']}")  # no commit will name it
     _commit(spark, path, before, levels, delta.config, by, before["ledger"] | dict(ledger or {}))
 
 
