@@ -220,7 +220,8 @@ def segment(spark, sf_dir):
 def grouped_facets_segment(spark, sf_dir):
     """A8, J6, J7, J9, I2 for many histories: one segment new, the others grown from half of their orders."""
     tx, versions = segment(spark, sf_dir)
-    contents, path = baskets.with_previous(versions, "content", ["g"]), new_path(spark, "index")
+    tx, contents = written(tx, "segments"), written(baskets.with_previous(versions, "content", ["g"], long=True), "contents")
+    path = new_path(spark, "index")
     half = tx.groupBy("g").agg(F.floor(F.max("seq") / 2).alias("_half"))
     old = tx.where("g <> 'BUILDING'").join(half, "g").where("seq <= _half").drop("_half")
     incremental.update_groups(spark, path, old, WIDE, ["g"], contents)

@@ -130,7 +130,26 @@ def holdout_split(tx: DataFrame, holdout: int) -> tuple[DataFrame, DataFrame, in
     return tx.where(F.col("seq") < cut), tx.where(F.col("seq") >= cut).withColumn("k", F.col("seq") - cut), size
 
 
-def with_previous(versions: DataFrame, content: str, by: Sequence[str] = ()) -> DataFrame:
-    """before and after of each version of an entity; the first has no before."""
+def with_previous(versions: DataFrame, content: str, by: Sequence[str] = (), long: bool = False) -> DataFrame:
+    """before and after of each version of an entity; the first has no before. long: an entity may have more versions than one task
+    should sort."""
+    if long:
+        return _with_previous_row(versions, content, [*by, "entity"]).withColumnRenamed(content, "after")
     w = Window.partitionBy(*by, "entity").orderBy("seq")
     return versions.withColumn("before", F.lag(content).over(w)).withColumnRenamed(content, "after")
+
+
+def _with_previous_row(versions: DataFrame, content: str, keys: Sequence[str]) -> DataFrame:
+    """versions with `before`: the content of the row before by keys and seq, where it has the same keys. Rows are range-sorted and
+    written with their partition; the first of each looks at the last of the partition before, which is one row a partition."""
+    own = versions.orderBy(*keys, "seq")
+    here = written(own.select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"), *versions.columns), "versions")
+    row = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], F.col(content).alias("content"))
+    ends = here.groupBy("_p").agg(F.max_by(row, "_i").alias("_end"))
+    starts = ends.select("_p", F.lag("_end").over(Window.orderBy("_p")).alias("_start"))  # a row a partition
+    inside = F.lag(row).over(Window.partitionBy("_p").orderBy("_i"))
+    told = here.join(F.broadcast(starts), "_p").withColumn("_row", F.coalesce(inside, F.col("_start")))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col("_row")[f"k{i}"].eqNullSafe(F.col(c))
+    return told.select(*versions.columns, F.when(F.col("_row").isNotNull() & same, F.col("_row")["content"]).alias("before"))
